@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing
+from tidemark.llm import decontamination, mixing, secrets
 from tidemark.llm.store import table
 
 
+def op2_scan_secrets(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
