@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, secrets
+from tidemark.llm import decontamination, mixing, secrets, simhash
 from tidemark.llm.store import table
 
 
@@ -18,6 +18,10 @@ def op8_decontaminate(spark, sf_dir):
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_simhash_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
