@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, mixing, secrets, simhash
+from tidemark.llm import decontamination, langid, mixing, secrets, simhash, toxicity
 from tidemark.llm.store import table
 
 
@@ -10,6 +10,11 @@ def op2_scan_secrets(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_score_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,11 @@ def op8_decontaminate(spark, sf_dir):
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_identify_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op10_simhash_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
