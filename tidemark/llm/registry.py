@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, langid, mixing, secrets, simhash, toxicity
+from tidemark.llm import balltree, decontamination, langid, mixing, secrets, simhash, toxicity
 from tidemark.llm.store import table
 
 
+def op1_top_k(spark, sf_dir):
+    vectors = balltree.usable(table(spark, sf_dir, "embeddings"))
+    return balltree.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_scan_secrets(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,19 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 
 def oracle_sql():
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op1_top_k": OP1_SQL, "op8_decontaminate": OP8_SQL}
