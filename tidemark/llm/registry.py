@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import balltree, decontamination, langid, mixing, secrets, simhash, toxicity
+from tidemark.llm import balltree, decontamination, langid, mixing, secrets, simhash, toxicity, warc
 from tidemark.llm.store import table
 
 
@@ -20,6 +20,10 @@ def op5_score_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
