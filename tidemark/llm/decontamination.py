@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import BROADCAST_ROWS, written
+from tidemark.llm.store import BROADCAST_ROWS, broadcast_if_small, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
@@ -99,3 +99,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
+    columns = docs.columns
+    named = docs.withColumn("row_id", F.struct("doc_id", F.xxhash64("text").alias("text_id")))
+    windows, _ = item_windows(benchmark, width)
+    hit = written(occurrences(named.select("row_id", "text"), windows, width).select("row_id").distinct(), "leak-rows")
+    return named.join(broadcast_if_small(hit), "row_id", "left_anti").select(*columns)

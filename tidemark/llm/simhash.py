@@ -236,9 +236,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows, one)."""
+    """``docs`` with one row of each component: that of its smallest doc_id, all columns as they are.
+
+    Of rows that share that doc_id one stays; rows without doc_id count as the
+    smallest of all ids there.
+    """
     columns = docs.columns
-    found = near_duplicates(docs, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(kept, first["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    named = docs.withColumn("_key", key)
+    found = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), radius)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
