@@ -11,6 +11,9 @@ from tidemark.operators import completeness as C
 from tidemark.operators import control, late, sketch, stats
 from tidemark.operators.running import prior_max
 from tidemark.sources.events import table, timeline, trips_to_events
+from tidemark.sources.folders import new_folder
+from tidemark.streaming import jobs
+from tidemark.streaming.engines import HeuristicOptions
 
 #: Waits and limits of the registered late-data queries.
 WAIT_MS = 20_000
@@ -343,7 +346,53 @@ def trip_statistics(spark, d):
     return stats.trip_statistics(t)
 
 
-_HELPERS = {"events", "table", "timeline", "prior_max", "window_id", "windows_overlapping", "valid_json", "with_stable_partition", "stable_partition_of", "trips_to_events", "queries", "oracle_sql"}
+def _slices(rows, spark, n: int = 4):
+    """A bounded stream's rows as files in arrival order, each partition's tokens after its events."""
+    folder = new_folder(spark, "stream")
+    rows.repartitionByRange(n, "arrival_ms").sortWithinPartitions("arrival_ms", "seq").write.parquet(f"{folder}/in")
+    return folder
+
+
+def _streamed(spark, d, job, policy):
+    rows = jobs.with_punctuation(events(spark, d), policy, 10_000, 5_000)
+    folder = _slices(rows, spark)
+    # Part files are read in name order, one a batch.
+    jobs.run_to_files(job(jobs.read_stream(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def strict_stream(spark, d):
+    """All windows of the strict stateful stream with end-of-stream punctuation: nothing is late."""
+    out = _streamed(spark, d, jobs.strict, "data-driven").where("kind = 'window'")
+    return out.select("partition_id", F.col("window_start").alias("ws"), F.col("count").alias("n"), "status_500")
+
+
+def strict_stream_accounts(spark, d):
+    """Counters of the strict stream under per-second tokens of the greatest event time, after the last batch."""
+    out = _streamed(spark, d, jobs.strict, "max-event-time").where("kind = 'metrics'")
+    last = out.groupBy("partition_id").agg(F.max(F.struct("received", "on_time", "late", "duplicates")).alias("x"))
+    return last.select("partition_id", "x.*")
+
+
+def heuristic_stream(spark, d):
+    """Rows kept late by the adaptive stream, by route, and the accounts of each partition."""
+    options = HeuristicOptions(l_max_ms=60_000, warmup_samples=100, every=50)
+    out = _streamed(spark, d, lambda s: jobs.heuristic(s, options), "data-driven")
+    late_rows = out.where("kind = 'late'").groupBy("partition_id").agg(F.count(F.lit(1)).alias("kept_late"))
+    last = out.where("kind = 'metrics'").groupBy("partition_id").agg(F.max(F.struct("received", "on_time", "late", "duplicates")).alias("x")).select("partition_id", "x.*")
+    return last.join(late_rows, "partition_id", "left").fillna(0, ["kept_late"])
+
+
+def native_stream(spark, d):
+    """Windows that Spark's own watermark closed in a bounded stream."""
+    rows = jobs.with_punctuation(events(spark, d), "data-driven", 10_000, 5_000)
+    folder = _slices(rows, spark)
+    stream = jobs.native_strict(jobs.read_stream(spark, f"{folder}/in"), 60_000)
+    jobs.run_to_files(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+_HELPERS = {"new_folder", "HeuristicOptions", "events", "table", "timeline", "prior_max", "window_id", "windows_overlapping", "valid_json", "with_stable_partition", "stable_partition_of", "trips_to_events", "queries", "oracle_sql"}
 
 
 def queries():
@@ -491,6 +540,7 @@ SELECT delta_s, e AS empirical_pct, round(t, 3) AS theoretical_pct, (SELECT roun
 SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY delta_s ORDER BY gap_s, p) = 1""",
         "edge_cases": ev + " SELECT count(*) FILTER (lateness_ms > 120000) AS over_120s, count(*) FILTER (lateness_ms > 180000) AS over_180s, max(lateness_ms) AS max_ms, round(quantile_cont(lateness_ms, 0.9999), 3) AS p9999_ms FROM ev",
         "windowed_counts": ev + " SELECT partition_id, ws, count(*) AS n, count(*) FILTER (status = 500) AS status_500, format('{}_{:.1f}-{:.1f}', partition_id, ws / 1000.0::DOUBLE, (ws + 5000) / 1000.0::DOUBLE) AS window_id FROM ev GROUP BY 1, 2",
+        "strict_stream": ev + " SELECT partition_id, ws, count(*) AS n, count(*) FILTER (status = 500) AS status_500 FROM ev GROUP BY 1, 2",
         "dedup_windowed_counts": ev + doubled + " SELECT partition_id, ws, count(*) AS n, count(*) FILTER (status = 500) AS status_500 FROM one GROUP BY 1, 2",
         "lateness_summary": ev
         + """ SELECT count(*) AS n, count(DISTINCT host) AS n_hosts, count(*) FILTER (status >= 500) AS n_500, min(et_ms) AS min_et_ms, max(et_ms) AS max_et_ms, max(et_ms) - min(et_ms) AS span_ms,
