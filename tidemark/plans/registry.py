@@ -347,16 +347,23 @@ def trip_statistics(spark, d):
 
 
 def _slices(rows, spark, n: int = 4):
-    """A bounded stream's rows as files in arrival order, each partition's tokens after its events."""
+    """A bounded stream's rows as files in arrival order.
+
+    A file stream reads files by age, so the slices are written one after the
+    other, each as one file; their number is fixed.
+    """
     folder = new_folder(spark, "stream")
-    rows.repartitionByRange(n, "arrival_ms").sortWithinPartitions("arrival_ms", "seq").write.parquet(f"{folder}/in")
+    cuts = rows.approxQuantile("arrival_ms", [i / n for i in range(1, n)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col("arrival_ms") > low)
+        part = part if high is None else part.where(F.col("arrival_ms") <= high)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return folder
 
 
 def _streamed(spark, d, job, policy):
     rows = jobs.with_punctuation(events(spark, d), policy, 10_000, 5_000)
     folder = _slices(rows, spark)
-    # Part files are read in name order, one a batch.
     jobs.run_to_files(job(jobs.read_stream(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 

@@ -198,7 +198,7 @@ class Heuristic:
     def _tier(self, lag: int, now: int) -> str:
         second = now // 1000
         n, bad = self.s.signs.get(second, (0, 0))
-        self.s.signs[second] = (n + 1, bad + (lag < 0))
+        self.s.signs[second] = [n + 1, bad + (lag < 0)]
         for old in [k for k in self.s.signs if k <= second - 60]:
             del self.s.signs[old]
         n, bad = (sum(x) for x in zip(*self.s.signs.values(), strict=True))
