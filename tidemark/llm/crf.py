@@ -80,8 +80,8 @@ class Crf:
             firsts.append(cuts)
             lengths.append(np.minimum(hi - cuts, STEP))
             orders.append(np.arange(len(cuts)))
-        if not len(out):
-            return [out] * len(texts)
+        if not len(out) or not k:
+            return [out[lo:hi] for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True)]
         words = [w for x in texts for w in x]
         first, length, order = np.concatenate(firsts), np.concatenate(lengths), np.concatenate(orders)
         last = np.concatenate([o == len(o) - 1 for o in orders if len(o)])

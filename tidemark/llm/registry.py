@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import balltree, decontamination, langid, mixing, repeats, secrets, simhash, toxicity, warc
+from tidemark.llm import balltree, decontamination, langid, mixing, pii, repeats, secrets, simhash, toxicity, warc
 from tidemark.llm.store import table
 
 
@@ -19,6 +19,10 @@ def op3_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_pseudonymise(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_score_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
