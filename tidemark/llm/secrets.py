@@ -5,7 +5,7 @@ top, every maximal run of token characters is scored by two first-order
 character models, one of random strings and one of ordinary identifiers; the
 log-likelihood ratio decides. Both are counted from labelled samples: random
 strings generated from digests of a counter, base matches of sampled documents,
-and the other tokens of those documents. The scan reads every whole text once
+and the other words and identifiers of those documents. The scan reads every whole text once
 and needs no shuffle; offsets come from the lengths of matches and of the gaps
 that ``split`` leaves between them.
 """
@@ -31,6 +31,8 @@ THRESHOLD = 8.0
 #: Labelled samples: documents (expected number, chosen by hash of doc_id) and generated strings.
 SAMPLE_DOCS = 2_000
 SAMPLE_STRINGS = 4_000
+#: Weight of a character's own frequency in its transitions, in counts.
+BACK_OFF = 4.0
 _SPAN = "array<struct<start:bigint,no:int,end:bigint>>"
 
 
@@ -107,7 +109,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     random_like = F.concat(_all(text, HEX), _all(text, ACCESS), F.filter(_all(text, ASSIGN, 2), lambda v: F.length(v) >= LEAST))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    found = drawn.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), random_like.alias("t")), F.struct(F.lit(0).alias("label"), _all(plain, TOKEN_CLASS + "{4,}").alias("t")))).alias("x"))
+    # Runs that could be judged are no sure examples of ordinary ones, but the words they are made of are.
+    short = f"(?<!{TOKEN_CLASS}){TOKEN_CLASS}{{4,{LEAST - 1}}}(?!{TOKEN_CLASS})"
+    pieces = f"(?<![A-Za-z0-9])[A-Za-z0-9]{{2,{LEAST - 1}}}(?![A-Za-z0-9])"
+    ordinary = F.concat(_all(plain, short), F.flatten(F.transform(_all(plain, TOKEN_CLASS + f"{{{LEAST},}}"), lambda t: _all(t, pieces))))
+    found = drawn.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), random_like.alias("t")), F.struct(F.lit(0).alias("label"), ordinary.alias("t")))).alias("x"))
     found = found.select("x.label", F.explode("x.t").alias("token")).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
     i = F.col("id").cast("string")
     digest = F.sha2(F.concat(F.lit("random "), i), 256)
@@ -117,12 +123,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int =
         F.lit(1).cast("long").alias("n"),
     )
     counts = {(r["label"], r["pair"]): r["n"] for r in _bigrams(found.unionByName(made)).collect()}
-    table: list[float] = []
-    rows = {label: {a: sum(counts.get((label, a + b), 0) for b in ALPHABET) for a in ALPHABET} for label in (0, 1)}
-    for a in ALPHABET:
-        for b in ALPHABET:
-            p, q = ((counts.get((label, a + b), 0) + 0.5) / (rows[label][a] + 0.5 * len(ALPHABET)) for label in (1, 0))
-            table.append(math.log(p / q))
+    logs = []
+    for label in (1, 0):
+        row = {a: sum(counts.get((label, a + b), 0) for b in ALPHABET) for a in ALPHABET}
+        column = {b: sum(counts.get((label, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+        total = sum(column.values())
+        # Transitions rarely seen fall back on how often the second character is seen at all.
+        alone = {b: (column[b] + 0.5) / (total + 0.5 * len(ALPHABET)) for b in ALPHABET}
+        logs.append([math.log((counts.get((label, a + b), 0) + BACK_OFF * alone[b]) / (row[a] + BACK_OFF)) for a in ALPHABET for b in ALPHABET])
+    table = [p - q for p, q in zip(*logs, strict=True)]
     return table
 
 
