@@ -51,25 +51,34 @@ def _stream(key: Column, half: Column, n: Column, choices: Column) -> Column:
     return F.zip_with(F.sequence(F.lit(1), n), choices, lambda i, m: (F.conv(F.substring(F.sha2(F.concat_ws("#", seed, i.cast("string")), 256), 1, 12), 16, 10).cast("long") % m).cast("int"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def permuted(places: Column, choices: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """``places`` (numbers below ``choices``, two or more of them) after the Feistel rounds."""
-    n = F.size(places)
-    half = F.floor(n / 2).cast("int")
-    halves = F.struct(F.slice(places, F.lit(1), half).alias("l"), F.slice(places, half + 1, n - half).alias("r"))
-    cl, cr = F.slice(choices, F.lit(1), half), F.slice(choices, half + 1, n - half)
 
     def add(values: Column, shift: Column, most: Column) -> Column:
-        sums = F.zip_with(values, shift, lambda a, b: a + b)
-        return F.zip_with(sums, most, lambda s, m: (s % m).cast("int"))
+        return F.zip_with(F.zip_with(values, shift, lambda a, b: a + b), most, lambda s, m: (s % m).cast("int"))
+
+    def network(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            k = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"))
+            right = F.struct(s["l"].alias("l"), add(s["r"], _stream(k, s["l"], F.size(x["cr"]), x["cr"]), x["cr"]).alias("r"))
+            left = F.struct(add(s["l"], _stream(k, s["r"], F.size(x["cl"]), x["cl"]), x["cl"]).alias("l"), s["r"].alias("r"))
+            return F.when(i % 2 == 0, right).otherwise(left)
+
+        start = F.struct(x["l"].alias("l"), x["r"].alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, one, lambda s: F.concat(s["l"], s["r"]))
 
-    def one(s: Column, i: Column) -> Column:
-        k = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"))
-        right = F.struct(s["l"].alias("l"), add(s["r"], _stream(k, s["l"], n - half, cr), cr).alias("r"))
-        left = F.struct(add(s["l"], _stream(k, s["r"], half, cl), cl).alias("l"), s["r"].alias("r"))
-        return F.when(i % 2 == 0, right).otherwise(left)
+    def halved(x: Column) -> Column:
+        n = F.size(x["p"])
+        half = F.floor(n / 2).cast("int")
+        cut = [f(x[c]).alias(name) for c, names in (("p", "lr"), ("c", ("cl", "cr"))) for name, f in zip(names, (lambda v: F.slice(v, F.lit(1), half), lambda v: F.slice(v, half + 1, n - half)), strict=True)]
+        return _let(F.struct(*cut), network)
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), halves, one)
-    return F.concat(done["l"], done["r"])
+    return _let(F.struct(places.alias("p"), choices.alias("c")), halved)
 
 
 def _in_shape(shape: Column, fresh: Column) -> Column:
@@ -100,25 +109,34 @@ def _leading(d: Column) -> Column:
 
 def _card(x: Column, key: str) -> Column:
     """All digits but the first (the scheme) and the last, which is made anew."""
-    d = _digits(x)
-    n = F.size(d)
-    inner = F.slice(d, F.lit(2), n - 2)
-    fresh = F.concat(F.slice(d, 1, 1), permuted(inner, F.transform(inner, lambda _: F.lit(10)), key, "card"))
-    check = (10 - luhn(F.concat(fresh, F.array(F.lit(0)))) % 10) % 10
-    return _in_shape(x, F.concat(fresh, F.array(check.cast("int"))))
+
+    def fresh(d: Column) -> Column:
+        inner = F.slice(d, F.lit(2), F.size(d) - 2)
+        return F.concat(F.slice(d, 1, 1), permuted(inner, F.transform(inner, lambda _: F.lit(10)), key, "card"))
+
+    def checked(d: Column) -> Column:
+        return F.concat(d, F.array(((10 - luhn(F.concat(d, F.array(F.lit(0)))) % 10) % 10).cast("int")))
+
+    return _in_shape(x, _let(_let(_digits(x), fresh), checked))
 
 
 def _phone(x: Column, key: str) -> Column:
     """The country code stays; leading digits of area and exchange stay 2-9 (or 0-1)."""
-    d = _digits(x)
     national = x.startswith("+1") | ~x.startswith("+")
     keep = F.when(x.startswith("+1"), 1).when(x.startswith("+"), 2).otherwise(0)
-    inner = F.slice(d, keep + 1, F.size(d) - keep)
     lead = lambda i: national & ((i == 0) | (i == 3))
-    choices = F.transform(inner, lambda v, i: F.when(lead(i), _leading(v)).otherwise(10))
-    low = F.transform(inner, lambda v, i: F.when(lead(i) & (v >= 2), 2).otherwise(0))
-    fresh = permuted(F.zip_with(inner, low, lambda v, w: v - w), choices, key, "phone")
-    return _in_shape(x, F.concat(F.slice(d, F.lit(1), keep), F.zip_with(fresh, low, lambda v, w: v + w)))
+
+    def shifted(s: Column) -> Column:
+        choices = F.transform(s["d"], lambda v, i: F.when(lead(i), _leading(v)).otherwise(10))
+        fresh = permuted(F.zip_with(s["d"], s["low"], lambda v, w: v - w), choices, key, "phone")
+        return F.zip_with(fresh, s["low"], lambda v, w: v + w)
+
+    def split(d: Column) -> Column:
+        inner = F.slice(d, keep + 1, F.size(d) - keep)
+        with_low = _let(inner, lambda y: F.struct(y.alias("d"), F.transform(y, lambda v, i: F.when(lead(i) & (v >= 2), 2).otherwise(0)).alias("low")))
+        return F.concat(F.slice(d, F.lit(1), keep), _let(with_low, shifted))
+
+    return _in_shape(x, _let(_digits(x), split))
 
 
 def _ssn_ok(x: Column) -> Column:
@@ -128,9 +146,9 @@ def _ssn_ok(x: Column) -> Column:
 
 def _ssn(x: Column, key: str) -> Column:
     a, g, s = (F.substring(x, i, n).cast("int") for i, n in ((1, 3), (5, 2), (8, 4)))
-    p = permuted(F.array(F.when(a > 666, a - 2).otherwise(a - 1), g - 1, s - 1), F.array(F.lit(898), F.lit(99), F.lit(9_999)), key, "ssn")
-    area = F.when(F.get(p, 0) >= 665, F.get(p, 0) + 2).otherwise(F.get(p, 0) + 1)
-    return F.format_string("%03d-%02d-%04d", area, F.get(p, 1) + 1, F.get(p, 2) + 1)
+    area = lambda v: F.when(v >= 665, v + 2).otherwise(v + 1)
+    fresh = permuted(F.array(F.when(a > 666, a - 2).otherwise(a - 1), g - 1, s - 1), F.array(F.lit(898), F.lit(99), F.lit(9_999)), key, "ssn")
+    return _let(fresh, lambda p: F.format_string("%03d-%02d-%04d", area(F.get(p, 0)), F.get(p, 1) + 1, F.get(p, 2) + 1))
 
 
 def _ip(x: Column, key: str) -> Column:
@@ -145,14 +163,17 @@ def _day(x: Column) -> Column:
 def _date(x: Column, key: str) -> Column:
     day = F.datediff(_day(x), F.lit(FIRST_DAY).cast("date"))
     a, b = DAY_PLACES
-    p = permuted(F.array(F.floor(day / b).cast("int"), (day % b).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
-    fresh = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, 0) * b + F.get(p, 1))
-    return F.when(x.contains("-"), F.date_format(fresh, "yyyy-MM-dd")).when(x.contains("."), F.date_format(fresh, "dd.MM.yyyy")).otherwise(F.date_format(fresh, "MM/dd/yyyy"))
+    places = _let(day, lambda y: F.array(F.floor(y / b).cast("int"), (y % b).cast("int")))
+
+    def written(p: Column) -> Column:
+        fresh = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, 0) * b + F.get(p, 1))
+        return F.when(x.contains("-"), F.date_format(fresh, "yyyy-MM-dd")).when(x.contains("."), F.date_format(fresh, "dd.MM.yyyy")).otherwise(F.date_format(fresh, "MM/dd/yyyy"))
+
+    return _let(permuted(places, F.array(F.lit(a), F.lit(b)), key, "date"), written)
 
 
 def _letters(text: Column, key: str, kind: str) -> Column:
     """Letters and digits permuted within their class, other characters as they are; at least two are needed."""
-    chars = _chars(text)
 
     def place(c: Column) -> Column:
         return F.when(c.rlike("[0-9]"), F.ascii(c) - 48).when(c.rlike("[a-z]"), F.ascii(c) - 97).when(c.rlike("[A-Z]"), F.ascii(c) - 65).otherwise(0)
@@ -160,13 +181,14 @@ def _letters(text: Column, key: str, kind: str) -> Column:
     def size(c: Column) -> Column:
         return F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1)
 
-    fresh = permuted(F.transform(chars, place), F.transform(chars, size), key, kind)
-
     def back(c: Column, v: Column) -> Column:
         letter = lambda alphabet: F.substring(F.lit(alphabet), v + 1, F.lit(1))
         return F.when(c.rlike("[0-9]"), letter(DIGITS)).when(c.rlike("[a-z]"), letter(LOWER)).when(c.rlike("[A-Z]"), letter(UPPER)).otherwise(c)
 
-    return F.concat_ws("", F.zip_with(chars, fresh, back))
+    def whole(chars: Column) -> Column:
+        return F.concat_ws("", F.zip_with(chars, permuted(F.transform(chars, place), F.transform(chars, size), key, kind), back))
+
+    return _let(_chars(text), whole)
 
 
 def _email(x: Column, key: str) -> Column:
@@ -181,11 +203,14 @@ def _iban_ok(x: Column) -> Column:
 
 def _iban(x: Column, key: str) -> Column:
     s = F.replace(x, F.lit(" "), F.lit(""))
-    own = _letters(F.substring(s, F.lit(5), F.length(s)), key, "iban")
-    check = F.lpad((98 - mod97(F.concat(own, F.substring(s, 1, 2), F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(F.substring(s, 1, 2), check, own)
+    country = F.substring(s, 1, 2)
+
+    def checked(own: Column) -> Column:
+        return F.concat(country, F.lpad((98 - mod97(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0"), own)
+
     # Written in groups of four if the original was.
-    return F.when(x.contains(" "), F.trim(F.regexp_replace(whole, "(.{4})", "$1 "))).otherwise(whole)
+    whole = _let(_letters(F.substring(s, F.lit(5), F.length(s)), key, "iban"), checked)
+    return _let(whole, lambda w: F.when(x.contains(" "), F.trim(F.regexp_replace(w, "(.{4})", "$1 "))).otherwise(w))
 
 
 def kind_of(x: Column) -> Column:
