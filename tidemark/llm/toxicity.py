@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 from functools import partial
@@ -26,7 +27,7 @@ from tidemark.llm.sampling import labelled_sample
 
 WORD = re.compile(r"\w+")
 #: Learning: labelled documents of each class (expected number at most), their longest text, words in a piece.
-TOXIC_DOCS, CLEAN_DOCS = 750, 3_000
+TOXIC_DOCS, CLEAN_DOCS = 600, 2_000
 LONGEST = 20_000
 PIECE = 200
 #: A word or beginning marks toxic words if it is in MIN_DOCS toxic documents, MIN_RATIO times more often
@@ -82,7 +83,8 @@ def evidence(marginal: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from labelled texts; without toxic ones every score is the prior's."""
-    words = [WORD.findall((t or "").lower()) for t in texts]
+    # Equal words share one string, which keeps the sample small in the driver.
+    words = [list(map(sys.intern, WORD.findall((t or "").lower()))) for t in texts]
     seen = {0: Counter(), 1: Counter()}
     for w, y in zip(words, toxic, strict=True):
         seen[y].update({f for v in set(w) for f in features(v)[1:4]})
@@ -95,7 +97,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     # As many pieces without a toxic word as with one, evenly spread, and some if there is none.
     plain = plain[:: max(1, len(plain) // max(200, len(tagged)))]
     tagger = crf.train([x for x, _ in tagged + plain], [z for _, z in tagged + plain], [0, 1], features, least=MIN_DOCS)
-    seen_evidence = np.array([evidence(m) for m in tagger.marginals(words)]).reshape(-1, 3)
+    found = [evidence(m) for at in range(0, len(words), SLICE // 4) for m in tagger.marginals(words[at : at + SLICE // 4])]
+    seen_evidence = np.array(found).reshape(-1, 3)
     return Model(tagger, _logistic(seen_evidence, np.array(toxic, float)))
 
 
