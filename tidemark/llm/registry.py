@@ -93,6 +93,43 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+# Every quotient of every party is listed and ranked, where the operator builds only those that can decide.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY 1
+), s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r, CAST(sum(n) OVER () AS BIGINT) AS t FROM s0
+), s2 AS (SELECT *, [5, 2, 1][(r - 1) % 3 + 1] AS w FROM s1
+), s3 AS (
+  SELECT *, coalesce(sum(n * 3) OVER (ORDER BY n * 3 / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(w) OVER (ORDER BY n * 3 / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM s2
+), s4 AS (SELECT *, CAST(t - filled AS DOUBLE) / wl AS lv FROM s3
+), s5 AS (SELECT *, max(lv) FILTER (n * 3 / w > lv) OVER () AS level FROM s4
+), src AS (
+  SELECT source, r, n, t, CASE WHEN n * 3 / w <= lv THEN CAST(n * 3 AS DOUBLE) ELSE least(CAST(n * 3 AS DOUBLE), level * w) END AS target,
+         CAST(greatest(1, least(100000, ceil(n / 1048576))) AS BIGINT) AS shards FROM s5
+), sq AS (SELECT r, t, k, target / (2 * k - 1) AS q FROM (SELECT *, unnest(range(1, n * 3 // 4 + 1)) AS k FROM src WHERE target > 0)
+), seats AS (SELECT r, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY q DESC, r, k) AS i FROM sq) WHERE i <= t // 4 GROUP BY r
+), dealt AS (
+  SELECT d.doc_id, d.size, src.r, src.n, src.target, coalesce(seats, 0) AS seats,
+         CAST('0x' || md5('7:shard' || coalesce(':' || d.doc_id, ''))[1:8] AS BIGINT) % shards AS shard
+  FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source LEFT JOIN seats USING (r)
+), sh AS (SELECT r, shard, CAST(sum(size) AS BIGINT) AS words, any_value(seats) AS seats FROM dealt GROUP BY 1, 2
+), hq AS (SELECT r, shard, seats, k, words / (2 * k - 1) AS q FROM (SELECT *, unnest(range(1, words * 3 // 4 + 1)) AS k FROM sh)
+), won AS (SELECT r, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY q DESC, shard, k) AS i FROM hq) WHERE i <= seats GROUP BY 1, 2
+), quota AS (
+  SELECT r, shard, words, coalesce(won, 0) * 4 AS quota,
+         CAST('0x' || md5('7:start:' || r || ':' || shard)[1:8] AS BIGINT) % greatest(1, (words + 3) // 4) * 4 AS start
+  FROM sh LEFT JOIN won USING (r, shard)
+), placed AS (
+  SELECT doc_id, size, n, target, r, shard,
+         CAST(sum(size) OVER (PARTITION BY r, shard ORDER BY CAST('0x' || md5('7:order' || coalesce(':' || doc_id, ''))[1:8] AS BIGINT), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM dealt
+), cut AS (SELECT *, hi - size AS lo, quota // greatest(1, words) AS passes, quota - quota // greatest(1, words) * words AS rest FROM placed JOIN quota USING (r, shard))
+SELECT doc_id, size, n AS source_size, target,
+       CAST(passes * size + greatest(0, least(hi, least(start + rest, words)) - greatest(lo, start)) + greatest(0, least(hi, start + rest - words) - greatest(lo, 0)) AS BIGINT) AS taken
+FROM cut
+"""
+
 
 def oracle_sql():
-    return {"op1_top_k": OP1_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_top_k": OP1_SQL, "op7_mix_sources": OP7_SQL, "op8_decontaminate": OP8_SQL}
