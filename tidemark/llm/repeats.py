@@ -31,9 +31,10 @@ from tidemark.llm.suffixes import suffix_array
 
 WIDTH = 400
 STEP = 16
-#: Bytes of contexts in a shard, on average, and distinct contexts of an anchor that go to one.
+#: Bytes of contexts in a shard, on average, and distinct contexts of an anchor that go to one
+#: (some 18 MB, about a million blocks).
 SHARD_BYTES = 6 << 20
-HOT = 8_000
+HOT = 32_000
 
 
 def _bytes(text) -> bytes:
@@ -270,8 +271,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     """
     if width < 2 * STEP:
         raise ValueError(f"width must be {2 * STEP} or more")
-    docs = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # Texts are dealt out by key once: both joins with them read the same exchange.
+    docs = _keyed(docs.select("doc_id", "text")).select("key", "text")
     spans = repeated_spans(docs, width, **limits)
-    rows = docs.join(spans, "key", "left").select("doc_id", "text", "spans")
+    rows = docs.join(spans, "key", "left").select(F.col("key.doc_id").cast(kind).alias("doc_id"), "text", "spans")
     return rows.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
