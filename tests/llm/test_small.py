@@ -463,6 +463,13 @@ def test_near_duplicates_and_survivors(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s"), (10, a, "en", "s"), (20, b, "en", "s"), (30, d, "en", "s"), (30, b, "en", "s"), (30, None, "en", "s"), (40, "", "en", "s")]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, a), (0, b), (0, c), (30, d), (30, "")])
+
+
 # 4
 
 

@@ -43,3 +43,20 @@ def components(edges: DataFrame) -> DataFrame:
             break
     # Every edge now joins a node to the smallest one of its component.
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def one_of_each(docs: DataFrame, grouped) -> DataFrame:
+    """``docs`` with one row of each component: its least by doc_id, then by a hash of the row.
+
+    ``grouped`` names components: from (doc_id, text) it makes doc_id and
+    component_id, the least doc_id of the component. It is given a doc_id of
+    each different row, so rows that share a doc_id or have none (which counts
+    as the smallest) keep components of their own; of equal rows one stays.
+    """
+    columns = docs.columns
+    # The hash skips nulls, so it is told where they are.
+    row = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    named = docs.withColumn("_key", F.struct(F.col("doc_id"), row.alias("row")))
+    found = grouped(named.select(F.col("_key").alias("doc_id"), "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, one_of_each
 from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.store import written
 
@@ -236,14 +236,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id, all columns as they are.
-
-    Of rows that share that doc_id one stays; rows without doc_id count as the
-    smallest of all ids there.
-    """
-    columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    named = docs.withColumn("_key", key)
-    found = near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"), radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    """``docs`` with one row of each component, all columns as they are: see ``one_of_each``."""
+    return one_of_each(docs, partial(near_duplicates, radius=radius))
