@@ -549,3 +549,24 @@ def test_pseudonyms_keep_format_and_links(spark):
     other = {r["doc_id"]: r["text"] for r in pii.digest(docs, "another").collect()}
     assert all(other[i] != out[i]["text"] for i in range(n))
     assert pii.digest(docs.where("false")).count() == 0
+
+
+def spans_of(spark, texts_):
+    found = {r["doc_id"]: r for r in pii.digest(documents(spark, [(i, t, None, None) for i, t in enumerate(texts_)]), "k").collect()}
+    return [[texts_[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in found[i]["spans"].split(",") if x)] for i in range(len(texts_))], found
+
+
+def test_no_candidate_hides_a_value(spark):
+    cases = {
+        "BE68 5390 0754 7034 EUR": ["BE68 5390 0754 7034"],
+        "pay ES9121000418450200051332 BIC": ["ES9121000418450200051332"],
+        "AT61 1904 3002 3457 3201 AND": ["AT61 1904 3002 3457 3201"],
+        "AB12 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+        "é 1234 4111 1111 1111 1111 é": ["4111 1111 1111 1111"],
+        "a.b@x.org,c@y.org": ["a.b@x.org", "c@y.org"],
+    }
+    got, rows = spans_of(spark, list(cases))
+    assert got == list(cases.values())
+    for i, (text, values) in enumerate(cases.items()):
+        assert len(rows[i]["text"]) == len(text) and not any(v in rows[i]["text"] for v in values)
+    assert rows[0]["text"].endswith(" EUR") and rows[4]["text"].startswith("é 1234 4") and rows[4]["text"].endswith(" é")

@@ -1,14 +1,14 @@
 """Format-preserving pseudonyms for personal data (SQL functions only).
 
-One pattern finds candidates of all kinds, leftmost first; each is validated by
-the rules of its kind (Luhn sum, mod-97 sum, calendar, number ranges). A valid
-value is split into places, each with as many choices as its format allows, and
+The pattern of each kind is tried at every place, so a candidate hides no other;
+each is validated by the rules of its kind (Luhn sum, mod-97 sum, calendar, number
+ranges), and of valid ones that overlap the first stays. A valid value is split into places, each with as many choices as its format allows, and
 permuted by a keyed Feistel network: the places are halved, and in each round
 one half is shifted, place by place, by a digest of the other. Check digits are
 made anew. So a pseudonym is valid in the same format, different values never
 get the same one, and equal values get the same one in every document.
 
-Texts are read once, whole, and nothing is shuffled.
+Texts are read whole, once for each kind, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.secrets import prefix_sums
 
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
-#: Candidates of each kind, in the order in which they are tried at a place.
+#: Candidates of each kind, in the order in which valid ones are taken at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -29,11 +29,11 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
 }
-ANY = "|".join(PATTERNS[k] for k in KINDS)
 ROUNDS = 8
 #: Days from 1900-01-01 on that have pseudonyms: all until 2099-12-31, which are 17 * 4,297.
 FIRST_DAY, YEARS, DAY_PLACES = "1900-01-01", (1900, 2099), (17, 4_297)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_VALUES = "array<struct<start:bigint,no:int,end:bigint,x:string>>"
 KEY_SETTING, DEFAULT_KEY = "spark.tidemark.pii.key", "set spark.tidemark.pii.key"
 
 
@@ -213,19 +213,55 @@ def _iban(x: Column, key: str) -> Column:
     return _let(whole, lambda w: F.when(x.contains(" "), F.trim(F.regexp_replace(w, "(.{4})", "$1 "))).otherwise(w))
 
 
-def kind_of(x: Column) -> Column:
-    """The kind of a candidate if it is valid, null otherwise."""
-    full = {k: x.rlike(f"^(?:{PATTERNS[k]})$") for k in KINDS}
-    day = _day(x)
-    return (
-        F.when(x.contains("@"), F.lit("email"))
-        .when(x.rlike("^[A-Z]"), F.when(_iban_ok(x), F.lit("iban")))
-        .when(full["ssn"], F.when(_ssn_ok(x), F.lit("ssn")))
-        .when(full["ip"], F.when(F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255), F.lit("ip")))
-        .when(full["date"], F.when(day.isNotNull() & F.year(day).between(*YEARS), F.lit("date")))
-        .when(full["card"], F.when(luhn(_digits(x)) % 10 == 0, F.lit("card")))
-        .otherwise(F.lit("phone"))
-    )
+def _iban_read(x: Column) -> Column:
+    """The longest valid reading of a candidate that ends where one of its groups does, null if there is none."""
+    words = F.split(x, " ")
+    readings = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.concat_ws(" ", F.slice(words, F.lit(1), i)))
+    return F.get(F.filter(readings, _iban_ok), F.lit(0))
+
+
+def value_of(x: Column, kind: str) -> Column:
+    """The valid value at the start of a candidate of a kind, null if there is none."""
+    if kind == "iban":
+        return _iban_read(x)
+    if kind == "card":
+        return F.when(luhn(_digits(x)) % 10 == 0, x)
+    if kind == "ssn":
+        return F.when(_ssn_ok(x), x)
+    if kind == "ip":
+        return F.when(F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255), x)
+    if kind == "date":
+        return F.when(F.year(_day(x)).between(*YEARS), x)
+    return x
+
+
+def _found(text: Column, kind: str) -> Column:
+    """Valid values of a kind at all places of ``text``, which starts with a space: (start, no, end, x)."""
+    # Group 1 is the candidate; the back references move up by one.
+    pattern = f"(?=({PATTERNS[kind].replace(chr(92) + '2', chr(92) + '3').replace(chr(92) + '1', chr(92) + '2') if kind == 'card' else PATTERNS[kind]}))"
+
+    def located(m: Column) -> Column:
+        # Matches are empty, so starts are the sums of the pieces before them, less the space.
+        lengths = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        starts = _let(lengths, lambda n: F.slice(prefix_sums(n), F.lit(2), F.size(n) - 1))
+        values = F.zip_with(starts, m, lambda a, x: F.struct((a - 1).alias("start"), value_of(x, kind).alias("x")))
+        held = F.filter(values, lambda v: v["x"].isNotNull())
+        return F.transform(held, lambda v: F.struct(v["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"), (v["start"] + F.length(v["x"])).alias("end"), v["x"].alias("x")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.when(F.size(m) > 0, located(m)).otherwise(F.array())).cast(_VALUES)
+
+
+def _apart(values: Column) -> Column:
+    """Values by start, without those that begin before the end of one that stays."""
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"] > v["start"], F.lit(False)), acc).otherwise(F.array_append(acc, v))
+
+    def resolved(vs: Column) -> Column:
+        meets = F.zip_with(F.slice(vs, F.lit(1), F.greatest(F.size(vs) - 1, F.lit(0))), F.slice(vs, F.lit(2), F.size(vs)), lambda a, b: a["end"] > b["start"])
+        return F.when(F.exists(meets, lambda x: x), F.aggregate(vs, F.array().cast(_VALUES), add)).otherwise(vs)
+
+    return _let(values, resolved)
 
 
 def pseudonym(x: Column, kind: Column, key: str) -> Column:
@@ -243,20 +279,21 @@ def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """
     key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
     columns = [c for c in docs.columns if c != "spans"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(*columns).withColumn("_m", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    df = docs.select(*columns).withColumn("_t", F.concat(F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    for kind in KINDS:
+        df = df.withColumn(f"_{kind}", _found(F.col("_t"), kind))
+    every = [f"_{kind}" for kind in KINDS]
     some = F.size("_m") > 0
-    df = df.withColumn("_g", F.when(some, F.split(text, ANY, -1)))
-    df = df.withColumn("_k", F.when(some, F.transform("_m", kind_of)))
-    df = df.withColumn("_f", F.when(some, F.zip_with("_m", "_k", lambda x, k: pseudonym(x, k, key))))
-    before = prefix_sums(F.zip_with(F.slice("_g", 1, F.size("_m")), "_m", lambda g, x: (F.length(g) + F.length(x)).cast("bigint")))
-    df = df.withColumn("_at", F.when(some, F.zip_with(before, F.slice("_g", 1, F.size("_m")), lambda p, g: p + F.length(g))))
-    ends = F.zip_with("_at", "_m", lambda a, x: F.struct(a.alias("start"), (a + F.length(x)).alias("end")))
-    spans = F.zip_with("_k", ends, lambda k, e: F.struct(k.alias("kind"), e["start"].alias("start"), e["end"].alias("end")))
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    df = df.withColumn("spans", F.when(some, F.filter(spans, lambda s: s["kind"].isNotNull())).otherwise(empty))
-    fresh = F.concat_ws("", F.zip_with("_g", F.concat("_f", F.array(F.lit(""))), lambda g, f: F.concat(g, f)))
-    return df.withColumn("text", F.when(some, fresh).otherwise(F.col("text"))).select(*columns, "spans")
+    df = df.withColumn("_m", F.concat(*every)).withColumn("_m", F.when(some, _apart(F.array_sort("_m"))).otherwise(F.col("_m"))).drop(*every)
+    names = F.array(*[F.lit(k) for k in KINDS])
+    kind = lambda s: F.element_at(names, s["no"] + 1)
+    df = df.withColumn("spans", F.transform("_m", lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    # Each pseudonym and the text from there to the next value; places in _t are one more than in the text.
+    tails = F.concat(F.transform(F.slice("_m", F.lit(2), F.size("_m")), lambda s: s["start"]), F.array((F.length("_t") - 1).cast("bigint")))
+    rest = lambda s, to: F.substring(F.col("_t"), (s["end"] + 2).cast("int"), (to - s["end"]).cast("int"))
+    pieces = F.zip_with("_m", tails, lambda s, to: F.concat(pseudonym(s["x"], kind(s), key), rest(s, to)))
+    head = F.substring(F.col("_t"), F.lit(2), F.element_at("_m", 1)["start"].cast("int"))
+    return df.withColumn("text", F.when(some, F.concat(head, F.concat_ws("", pieces))).otherwise(F.col("text"))).select(*columns, "spans")
 
 
 def digest(docs: DataFrame, key: str | None = None) -> DataFrame:
