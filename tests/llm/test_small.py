@@ -570,3 +570,20 @@ def test_no_candidate_hides_a_value(spark):
     for i, (text, values) in enumerate(cases.items()):
         assert len(rows[i]["text"]) == len(text) and not any(v in rows[i]["text"] for v in values)
     assert rows[0]["text"].endswith(" EUR") and rows[4]["text"].startswith("é 1234 4") and rows[4]["text"].endswith(" é")
+
+
+def test_values_after_punctuation_and_with_spaces(spark):
+    cases = {
+        "_john@example.com_ x": ["john@example.com"],
+        "-john.doe@example.com": ["john.doe@example.com"],
+        "so...john@example.com, +a@x.org": ["so...john@example.com", "a@x.org"],
+        "...john@example.com": ["john@example.com"],
+        "to%3Ajohn@example.com": ["to%3Ajohn@example.com"],
+        "%3Ajohn@example.com": ["3Ajohn@example.com"],
+        "(555) 123 4567": ["(555) 123 4567"],
+        "call 555 123 4567.": ["555 123 4567"],
+        "no 5555 123 4567 nor 555 123 45678": [],
+    }
+    got, rows = spans_of(spark, list(cases))
+    assert got == list(cases.values())
+    assert all(len(rows[i]["text"]) == len(t) and not any(v in rows[i]["text"] for v in vs) for i, (t, vs) in enumerate(cases.items()))
