@@ -8,20 +8,24 @@ the session names none (tests, a laptop) is a local folder set.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table may be broadcast; counted, never assumed.
+#: Rows and bytes up to which a table may be broadcast; counted, never assumed.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is set if it is unset."""
+    """The folder in ``spark.checkpoint.dir``; if it is unset, a local one for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,11 +57,53 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and, written as JSON, bytes; both are counted."""
+    sized = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")).first()
+    return sized["n"] <= rows and (sized["bytes"] or 0) <= most_bytes
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; beyond the bound Spark joins by shuffle."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+    """Hint a broadcast only after counting; beyond the bounds Spark joins by shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until none of ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Files of our own in the shared folder, which may be a mounted folder or any store that pyarrow can open.
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def create(uri: str):
+    """A new file to write to, with the folders above it."""
+    store, path = _store(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path, compression=None)
+
+
+def opened(uri: str):
+    """A file to read from at any place."""
+    store, path = _store(uri)
+    return store.open_input_file(path)
+
+
+def read_whole(uri: str) -> bytes:
+    with opened(uri) as file:
+        return file.read()

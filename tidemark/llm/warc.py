@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import new_path, written
+from tidemark.llm.store import create, new_path, opened, written
 
 BLOCK_LINES = 3_000
 ROLL_BYTES = 256 << 20
@@ -62,29 +62,11 @@ def surt(url: str | None) -> str:
     return urllib.parse.quote(",".join(reversed(host.split("."))) + port + ")" + rest, safe="!$&'()*+,-./:;=?@_~%")
 
 
-# Files in the shared folder, which may be a mounted folder or any store that pyarrow can open.
-
-
-def _store(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:") or "://" not in uri:
-        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(uri)
-
-
-def _create(uri: str):
-    store, path = _store(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path, compression=None)
-
-
 class _Ranges:
     """Range reads of one file, with read-ahead for reads that follow each other."""
 
     def __init__(self, uri: str, ahead: int = READ_BYTES):
-        store, path = _store(uri)
-        self.file, self.ahead, self.at, self.held = store.open_input_file(path), ahead, 0, b""
+        self.file, self.ahead, self.at, self.held = opened(uri), ahead, 0, b""
         self.size = self.file.size()
 
     def read(self, at: int, size: int) -> bytes:
@@ -160,7 +142,7 @@ def _archive(batches, folder: str, roll: int):
                 if out is not None:
                     out.close()
                 name, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
-                out = _create(name)
+                out = create(name)
             out.write(data)
             rows.append((surt(url), page, "revisit" if refers is not None else "response", digest, name, at, len(data)))
             at += len(data)
@@ -202,7 +184,7 @@ def _index_shard(batches, folder: str, lines: int):
         at, held = at + len(data), []
 
     for batch in batches:
-        out = out or _create(name)
+        out = out or create(name)
         columns = ("page", "kind", "digest", "file", "at", "size")
         for key, *entry in zip(*(batch.column(c).to_pylist() for c in ("key", *columns)), strict=True):
             held.append((key, entry))
