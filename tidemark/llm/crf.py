@@ -13,11 +13,15 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Padded cells (sequences times steps) worked on at once, words in a piece, and words remembered.
 CELLS = 1 << 20
 STEP = 128
 REMEMBERED = 600_000
+#: Numbers in the matrices of pieces that are held at once, and bytes and texts that ``slices`` puts together.
+MATRIX_CELLS = 1 << 22
+SLICE_BYTES, SLICE_TEXTS = 4 << 20, 512
 
 
 @dataclass
@@ -49,17 +53,26 @@ class Crf:
             out[at : at + len(lists)] = np.add.reduceat(table[ids], np.concatenate([[0], ends[:-1]]), axis=0)
         return out
 
-    def emissions(self, words: Sequence[str]) -> np.ndarray:
-        """The same through a bounded memory of words."""
+    def _numbered(self, words: Sequence[str]) -> np.ndarray:
+        """The place of each word's scores in ``_rows``, a bounded memory of words."""
         if self._seen is None or len(self._seen) + len(words) > max(REMEMBERED, len(words)):
             # What a call needs always fits: the memory starts anew with room for it.
-            self._seen, self._rows = {}, np.zeros((max(REMEMBERED, len(words)), len(self.labels)))
-        seen, rows = self._seen, self._rows
-        fresh = list(set(words).difference(seen))
+            self._seen, self._rows = {}, np.zeros((min(1 << 12, max(REMEMBERED, len(words))), len(self.labels)))
+        fresh = list(set(words).difference(self._seen))
         if fresh:
-            rows[len(seen) : len(seen) + len(fresh)] = self.scores(fresh)
-            seen.update(zip(fresh, range(len(seen), len(seen) + len(fresh)), strict=True))
-        return rows[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
+            at, need = len(self._seen), len(self._seen) + len(fresh)
+            if need > len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros((max(need - len(self._rows), len(self._rows)), len(self.labels)))])
+            self._rows[at:need] = self.scores(fresh)
+            self._seen.update(zip(fresh, range(at, need), strict=True))
+        return np.fromiter(map(self._seen.__getitem__, words), np.int64, len(words))
+
+    def emissions(self, words: Sequence[str]) -> np.ndarray:
+        """``scores`` through a bounded memory of words."""
+        if not len(words):
+            return np.zeros((0, len(self.labels)))
+        place = self._numbered(words)
+        return self._rows[place]
 
     def marginals(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
         """For each sequence of words, the probabilities of the labels at each word.
@@ -68,86 +81,113 @@ class Crf:
         sequences go side by side. A first pass finds what each piece does to
         any distribution before it (a matrix); chaining these gives the messages
         at the cuts, so the result is that of the uncut sequences, at a number
-        of steps that long texts do not raise.
+        of steps that long texts do not raise. No more than MATRIX_CELLS numbers
+        of matrices are held: pieces are taken in blocks, forward for the
+        messages from the left and backward for those from the right.
         """
         k = len(self.labels)
         ends = np.cumsum([len(x) for x in texts], dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
-        out = np.zeros((int(ends[-1]) if len(ends) else 0, k), np.float32)
         begins = ends - np.array([len(x) for x in texts], np.int64)
-        firsts, lengths, orders = [], [], []
-        for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
-            cuts = np.arange(lo, hi, STEP)
-            firsts.append(cuts)
-            lengths.append(np.minimum(hi - cuts, STEP))
-            orders.append(np.arange(len(cuts)))
+        out = np.zeros((int(ends[-1]) if len(ends) else 0, k), np.float32)
         if not len(out) or not k:
             return [out[lo:hi] for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True)]
-        words = [w for x in texts for w in x]
-        first, length, order = np.concatenate(firsts), np.concatenate(lengths), np.concatenate(orders)
-        last = np.concatenate([o == len(o) - 1 for o in orders if len(o)])
-        by_length = np.argsort(-length, kind="stable")
-        groups = np.array_split(by_length, -(-len(by_length) * STEP // CELLS))
-        a = np.exp(self.transitions)
-
-        rows = self.emissions(words)
+        counts = -(-(ends - begins) // STEP)
+        order = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.repeat(begins, counts) + order * STEP
+        length = np.minimum(np.repeat(ends, counts) - first, STEP)
+        last = order == np.repeat(counts, counts) - 1
+        a = np.exp(self.transitions - self.transitions.max())
+        place = self._numbered([w for x in texts for w in x])
+        used, at_used = np.unique(place, return_inverse=True)
+        rows = self._rows[used]
         rows -= rows.max(axis=1, keepdims=True)
         np.exp(rows, out=rows)
 
         def padded(group: np.ndarray) -> np.ndarray:
+            """Emissions of pieces, the longest first: step, piece, label."""
             at = np.arange(int(length[group[0]]))[:, None]
-            emit = rows[np.minimum(first[group] + at, first[group] + length[group] - 1)]
+            emit = rows[at_used[np.minimum(first[group] + at, first[group] + length[group] - 1)]]
             emit[at >= length[group]] = 1
             return emit
 
-        kept = [padded(g) for g in groups] if len(groups) == 1 else None
-        inward, outward = np.tile(np.exp(self.start) @ np.linalg.pinv(a), (len(first), 1)), np.ones((len(first), k))
-        if not last.all():
-            through = np.zeros((len(first), k, k))
-            for group in groups:
-                inner = group[~last[group] | (order[group] > 0)]
-                emit = padded(group) if kept is None else kept[0]
-                pick = np.flatnonzero(~last[group] | (order[group] > 0))
-                now = np.tile(np.eye(k), (len(inner), 1, 1))
-                alive = length[inner]
-                for t in range(int(alive.max()) if len(inner) else 0):
-                    n = int(np.searchsorted(-alive, -t, side="left"))
-                    now[:n] = (now[:n] @ a) * emit[t, pick[:n], None, :]
+        def alive(group: np.ndarray) -> np.ndarray:
+            """How many of the pieces, the longest first, have each step."""
+            return np.searchsorted(-length[group], -np.arange(int(length[group[0]])), side="left")
+
+        def through(block: np.ndarray) -> np.ndarray:
+            """The matrix of each piece of ``block``, up to a factor; a sequence's first word has no transition before it."""
+            found = np.empty((len(block), k, k))
+            by_length = np.argsort(-length[block], kind="stable")
+            for part in np.array_split(by_length, -(-len(by_length) * STEP // CELLS)):
+                group = block[part]
+                emit = padded(group)
+                now = np.tile(np.eye(k), (len(group), 1, 1))
+                for t, n in enumerate(alive(group).tolist()):
+                    now[:n] = (now[:n] if t == 0 else now[:n] @ a) * emit[t, :n, None, :]
                     if t % 16 == 15:
                         now[:n] /= now[:n].sum(axis=(1, 2), keepdims=True)
-                through[inner] = now / now.sum(axis=(1, 2), keepdims=True)
-            for depth in range(1, int(order.max()) + 1):
-                here = np.flatnonzero(order == depth)
-                before = inward[here - 1]
-                m = before[:, None, :] @ through[here - 1]
-                inward[here] = m[:, 0] / np.abs(m[:, 0]).sum(axis=1, keepdims=True)
-            for depth in range(int(order.max()) - 1, -1, -1):
-                here = np.flatnonzero((order == depth) & ~last)
-                m = through[here + 1] @ outward[here + 1][:, :, None]
-                outward[here] = m[:, :, 0] / m[:, :, 0].sum(axis=1, keepdims=True)
-        for group in groups:
-            emit = padded(group) if kept is None else kept[0]
-            alive = length[group]
-            steps = len(emit)
-            active = np.searchsorted(-alive, -np.arange(steps), side="left")
+                found[part] = now / now.sum(axis=(1, 2), keepdims=True)
+            later = order[block] > 0
+            found[later] = a @ found[later]
+            return found / found.sum(axis=(1, 2), keepdims=True)
+
+        # What is known of the label before a piece (of a sequence's first word: the start), and after it.
+        inward, outward = np.tile(np.exp(self.start - self.start.max()), (len(first), 1)), np.ones((len(first), k))
+        chained = np.flatnonzero(~last | (order > 0))
+        size = max(1, MATRIX_CELLS // (k * k))
+        blocks = [chained[i : i + size] for i in range(0, len(chained), size)]
+        kept = through(blocks[0]) if len(blocks) == 1 else None
+
+        def by_depth(block: np.ndarray) -> list[np.ndarray]:
+            depth = np.argsort(order[block], kind="stable")
+            return np.split(depth, np.flatnonzero(np.diff(order[block][depth])) + 1)
+
+        for block in blocks:
+            matrices = through(block) if kept is None else kept
+            for depth in by_depth(block):
+                depth = depth[~last[block[depth]]]
+                m = (inward[block[depth]][:, None, :] @ matrices[depth])[:, 0]
+                inward[block[depth] + 1] = m / m.sum(axis=1, keepdims=True)
+        for block in reversed(blocks):
+            matrices = through(block) if kept is None else kept
+            for depth in reversed(by_depth(block)):
+                depth = depth[order[block[depth]] > 0]
+                m = (matrices[depth] @ outward[block[depth]][:, :, None])[:, :, 0]
+                outward[block[depth] - 1] = m / m.sum(axis=1, keepdims=True)
+        by_length = np.argsort(-length, kind="stable")
+        for group in np.array_split(by_length, -(-len(by_length) * STEP // CELLS)):
+            emit, active = padded(group), alive(group)
             alpha = np.zeros_like(emit)
-            now = inward[group]
-            for t in range(steps):
-                n = active[t]
-                now = (now[:n] @ a) * emit[t, :n]
+            now, later = inward[group], order[group, None] > 0
+            for t, n in enumerate(active.tolist()):
+                now = (np.where(later, now @ a, now) if t == 0 else now[:n] @ a) * emit[t, :n]
                 now /= now.sum(axis=1, keepdims=True)
                 alpha[t, :n] = now
             beta = outward[group]
-            for t in range(steps - 1, -1, -1):
+            for t in range(len(emit) - 1, -1, -1):
                 n = active[t]
                 alpha[t, :n] *= beta[:n]
                 ahead = (emit[t, :n] * beta[:n]) @ a.T
                 beta[:n] = ahead / ahead.sum(axis=1, keepdims=True)
             alpha /= np.maximum(alpha.sum(axis=2, keepdims=True), 1e-300)
-            for j, (f, n) in enumerate(zip(first[group].tolist(), alive.tolist(), strict=True)):
+            for j, (f, n) in enumerate(zip(first[group].tolist(), length[group].tolist(), strict=True)):
                 out[f : f + n] = alpha[:n, j]
         return [out[lo:hi] for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
+def slices(batch, column: str = "text", most_bytes: int = SLICE_BYTES, most_texts: int = SLICE_TEXTS) -> Iterable:
+    """An Arrow batch in slices of so many texts and bytes at most; a longer text is one slice."""
+    sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (held + n > most_bytes or i - at == most_texts):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def forward_backward(given: Sequence[np.ndarray], transitions: np.ndarray, start: np.ndarray):
     """Marginals (step, sequence, label), expected transitions and starts, log-likelihood parts.
 

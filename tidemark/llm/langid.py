@@ -27,14 +27,14 @@ from tidemark.llm.toxicity import remainder
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
-#: Learning: documents of each language (expected number at most), languages, longest text, words in a piece.
+#: Learning: documents of each language and of all (expected numbers at most, though one of each language at
+#: least), characters of a document (a longer one gives a stretch of it), words in a piece.
 PER_LANG = 250
-LANGS = 200
+SAMPLE_DOCS = 50_000
 LONGEST = 20_000
 PIECE = 60
 #: Words of a document used for learning, at most: evenly spread pieces of it.
 TRAIN_WORDS = 240
-SLICE = 512
 
 
 def features(word: str) -> list[str]:
@@ -89,22 +89,28 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Model:
     return Model(crf.train(sequences, tags, labels, features, rounds=40, rate=0.2, least=3))
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS, longest: int = LONGEST) -> Model:
-    """Fit on a bounded sample: about ``per_lang`` documents of each of the ``langs`` most frequent languages."""
+def learn(docs: DataFrame, per_lang: int = PER_LANG, sample_docs: int = SAMPLE_DOCS, longest: int = LONGEST) -> Model:
+    """Fit on a bounded sample: about ``per_lang`` documents of every language, fewer if those are over ``sample_docs``.
+
+    Of a document longer than ``longest`` characters, a stretch of so many from
+    a place chosen by a hash of the text is used.
+    """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(folds=FOLDS) != HELD_OUT))
-    known = known.where(F.length("text") <= longest)
-    most = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
-    if not most:
+    langs = [r[0] for r in known.select("lang").distinct().collect()]
+    if not langs:
         return fit([], [])
-    rows = labelled_sample(known, "lang", {x: per_lang for x in most}, "langid").collect()
+    wanted = max(1, min(per_lang, sample_docs // len(langs)))
+    rows = labelled_sample(known, "lang", {x: wanted for x in langs}, "langid")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - longest + 1, F.lit(1))) + 1
+    rows = rows.select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(longest)).alias("text")).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def _judged(batches, model):
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        # A label is a number for each word, so the more there are, the fewer bytes go together.
+        for part in crf.slices(batch, most_bytes=max(1 << 16, 4 * crf.SLICE_BYTES // max(4, len(model.tagger.labels)))):
             found = model.judge([x.as_py() for x in part.column("text")])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

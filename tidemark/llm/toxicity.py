@@ -36,8 +36,8 @@ CHANCE = 1e-6
 MIN_DOCS = 4
 MIN_RATIO = 12.0
 FOLDS = 5
-#: Texts handled at once in a task.
-SLICE = 512
+#: Texts of the sample that are judged at once.
+SLICE = 128
 
 
 def features(word: str) -> list[str]:
@@ -97,7 +97,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     # As many pieces without a toxic word as with one, evenly spread, and some if there is none.
     plain = plain[:: max(1, len(plain) // max(200, len(tagged)))]
     tagger = crf.train([x for x, _ in tagged + plain], [z for _, z in tagged + plain], [0, 1], features, least=MIN_DOCS)
-    found = [evidence(m) for at in range(0, len(words), SLICE // 4) for m in tagger.marginals(words[at : at + SLICE // 4])]
+    found = [evidence(m) for at in range(0, len(words), SLICE) for m in tagger.marginals(words[at : at + SLICE])]
     seen_evidence = np.array(found).reshape(-1, 3)
     return Model(tagger, _logistic(seen_evidence, np.array(toxic, float)))
 
@@ -146,10 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
 
 def _judged(batches, model):
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            texts = [x.as_py() or "" for x in part.column("text")]
-            found = model.judge(texts)
+        for part in crf.slices(batch):
+            found = model.judge([x.as_py() or "" for x in part.column("text")])
             n = [int((p >= 0.5).sum()) for _, p in found]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(n, pa.int64())], ["doc_id", "score", "n_toxic_words"])
 
@@ -167,14 +165,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _clean(batches, model):
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        for part in crf.slices(batch):
             found = model.judge([x.as_py() or "" for x in part.column("text")])
             yield part.filter(pa.array([s < 0.5 for s, _ in found]))
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose score is below one half, all columns as they are."""
+    """The rows of ``docs`` whose score is below one half, all columns as they are.
+
+    Null and empty texts have the score of no evidence; repeated rows are judged
+    each; an empty table gives no rows. Columns may have any names.
+    """
     return docs.mapInArrow(partial(_clean, model=model), docs.schema)
 
 
@@ -186,6 +187,9 @@ def _spanned(batches, model):
 
 
 def offending(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the offsets (code points, end exclusive) of toxic spans."""
+    """doc_id and the offsets (code points, end exclusive) of toxic spans, a row for each row of ``docs``.
+
+    Null and empty texts have no spans; an empty table gives no rows.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(partial(_spanned, model=model), f"doc_id {kind}, spans array<struct<start:bigint,end:bigint>>")
