@@ -10,8 +10,11 @@ to each other. Blocks that agree over all but STEP bytes of a window are then
 compared at each of the STEP ways that a window can lie around them, byte for
 byte, so results are exact at every offset.
 
-An anchor with more than HOT distinct contexts does not go to one shard: its
-windows are counted by 128-bit digests instead, spread over all tasks.
+An anchor may have more distinct contexts than fit a shard. Their windows are then
+parted once more, by where they start before the anchor (in ranges of so many
+bytes) and by the bytes that all windows of the range have in common: equal
+windows agree in both. Ranges get narrower until every part fits; a range of one
+byte has equal windows only, so that is always reached.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from tidemark.llm.suffixes import suffix_array
 
 WIDTH = 400
 STEP = 16
-#: Bytes of contexts in a shard, on average, and distinct contexts of an anchor that go to one
-#: (some 18 MB, about a million blocks).
+#: Bytes of contexts in a shard, on average, and distinct contexts of an anchor that fit one (some 4 MB).
 SHARD_BYTES = 6 << 20
-HOT = 32_000
+HOT = 8_000
+#: By what part of a window, and then of a range, the ranges of starts get narrower.
+NARROWER = 4
 
 
 def _bytes(text) -> bytes:
@@ -178,17 +182,25 @@ def _shard(table: pa.Table, width: int) -> pa.Table:
     return pa.Table.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["key", "start", "end"])
 
 
-def _digests(batches, width: int):
-    """A row for each window of each context: two halves of its digest."""
+def _parted(batches, width: int, span: int):
+    """Contexts cut up by ranges of ``span`` starts: rows as of ``_runs``, and n."""
     for batch in batches:
-        for i, (data, n, first) in enumerate(zip(batch.column("data"), batch.column("n"), batch.column("first"), strict=True)):
-            data, n, first = data.as_py(), n.as_py(), first.as_py()
-            count = len(data) - width + 1
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[s : s + width]) for s in range(count)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(np.full(count, i))), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.full(count, n)), pa.array(np.arange(first, first + count))],
-                ["key", "h1", "h2", "n", "start"],
-            )
+        rows, parts = [], []
+        for i, (data, gram, n, first, offset) in enumerate(zip(*(batch.column(c) for c in ("data", "gram", "n", "first", "offset")), strict=True)):
+            data, gram, n, first, offset = data.as_py(), gram.as_py(), n.as_py(), first.as_py(), offset.as_py()
+            # Window s begins offset - s bytes before the anchor; range c has those of c * span to (c + 1) * span - 1.
+            for c in range((offset - (len(data) - width)) // span, offset // span + 1):
+                latest, earliest = offset - c * span, offset - (c + 1) * span + 1
+                lo, hi = max(0, earliest), min(len(data) - width, latest)
+                common = data[latest : earliest + width]
+                part = xxhash.xxh3_64_intdigest(common, (gram + c * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+                ctx = xxhash.xxh3_64_intdigest(data[lo : hi + width], offset - lo)
+                rows.append(i)
+                parts.append((part, ctx, first + lo, first + hi, offset - lo, n))
+        if rows:
+            columns = list(zip(*parts, strict=True))
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns[:2]]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), *hashes, *(pa.array(x, pa.int64()) for x in columns[2:])], ["key", "gram", "ctx", "first", "last", "offset", "n"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -204,12 +216,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     ``docs`` has key and text. Rows that are equal altogether share a key, and
     each still counts as a place where its strings start.
     """
-    runs = written(docs.select("key", "text").mapInArrow(partial(_runs, width=width, gram=gram), f"key {_KEY}, gram long, ctx long, first long, last long, offset long"), "repeat-runs")
-    contexts = runs.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last", "offset")).alias("one"))
-    contexts = written(contexts, "repeat-contexts")
-    grams = contexts.groupBy("gram").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
-    again = written(contexts.join(grams, "gram").select("gram", "ctx", "n", "kinds", "one.*"), "repeat-candidates")
-    whole = runs.join(again.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("end"))
+    rows = f"key {_KEY}, gram long, ctx long, first long, last long, offset long"
+    runs = written(docs.select("key", "text").mapInArrow(partial(_runs, width=width, gram=gram), rows), "repeat-runs").withColumn("n", F.lit(1).cast("long"))
 
     def search(table: pa.Table) -> pa.Table:
         return _shard(table, width)
@@ -218,16 +226,23 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
         wanted = some.groupBy("key").agg(F.collect_list(F.struct("gram", "n", "offset", "first", "last")).alias("wanted"))
         return docs.select("key", "text").join(wanted, "key").mapInArrow(partial(_cut, width=width), f"key {_KEY}, gram long, n long, offset long, first long, data binary")
 
-    many = again.where("kinds > 1")
-    sized = many.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("last") - F.col("first") + width)).alias("bytes"), F.max("kinds").alias("most")).first()
-    shards = max(1, -(-(sized["bytes"] or 0) // shard_bytes))
-    dealt = cut(many.where(F.col("kinds") <= hot)).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    spans = whole.unionByName(dealt.groupBy("shard").applyInArrow(search, f"key {_KEY}, start long, end long"))
-    if (sized["most"] or 0) > hot:
-        windows = written(cut(many.where(F.col("kinds") > hot)).mapInArrow(partial(_digests, width=width), f"key {_KEY}, h1 long, h2 long, n long, start long"), "repeat-windows")
-        twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("places")).where("places > 1")
-        spans = spans.unionByName(windows.join(twice, ["h1", "h2"], "left_semi").select("key", "start", (F.col("start") + width).alias("end")))
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans, span = None, width
+    while True:
+        # n: places that a row stands for; a row of more than one has its spans already.
+        contexts = written(runs.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("key", "first", "last", "offset")).alias("one")), "repeat-contexts")
+        grams = contexts.groupBy("gram").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
+        again = written(contexts.join(grams, "gram").select("gram", "ctx", "n", "kinds", "one.*"), "repeat-candidates")
+        whole = runs.where("n = 1").join(again.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + width).alias("end"))
+        many = again.where("kinds > 1")
+        sized = many.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("last") - F.col("first") + width)).alias("bytes"), F.max("kinds").alias("most")).first()
+        shards = max(1, -(-(sized["bytes"] or 0) // shard_bytes))
+        dealt = cut(many.where(F.col("kinds") <= hot)).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+        found = whole.unionByName(dealt.groupBy("shard").applyInArrow(search, f"key {_KEY}, start long, end long"))
+        spans = found if spans is None else spans.unionByName(found)
+        if (sized["most"] or 0) <= hot:
+            return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        span = max(1, span // NARROWER)
+        runs = written(cut(many.where(F.col("kinds") > hot)).mapInArrow(partial(_parted, width=width, span=span), rows + ", n long"), "repeat-parts")
 
 
 def merged(spans: list[dict] | None) -> list[list[int]]:
