@@ -27,14 +27,14 @@ PATTERNS = {
     "phone": r"(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[2-9](?:[ .-]?[0-9]){7,14})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
 }
 ROUNDS = 8
 #: Days from 1900-01-01 on that have pseudonyms: all until 2099-12-31, which are 17 * 4,297.
 FIRST_DAY, YEARS, DAY_PLACES = "1900-01-01", (1900, 2099), (17, 4_297)
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _VALUES = "array<struct<start:bigint,no:int,end:bigint,x:string>>"
-KEY_SETTING, DEFAULT_KEY = "spark.tidemark.pii.key", "set spark.tidemark.pii.key"
+KEY_SETTING = "spark.tidemark.pii.key"
 
 
 def _chars(text: Column) -> Column:
@@ -156,8 +156,19 @@ def _ip(x: Column, key: str) -> Column:
     return F.concat_ws(".", permuted(v, F.transform(v, lambda _: F.lit(256)), key, "ip").cast("array<string>"))
 
 
+def _in_form(x: Column, made) -> Column:
+    """``made`` of the form that a date is written in."""
+    return F.when(x.contains("-"), made("yyyy-MM-dd")).when(x.contains("."), made("dd.MM.yyyy")).when(F.substring(x, 5, 1) == "/", made("yyyy/MM/dd")).otherwise(made("MM/dd/yyyy"))
+
+
 def _day(x: Column) -> Column:
-    return F.when(x.contains("-"), F.try_to_date(x, "yyyy-MM-dd")).when(x.contains("."), F.try_to_date(x, "dd.MM.yyyy")).otherwise(F.try_to_date(x, "MM/dd/yyyy"))
+    return _in_form(x, lambda form: F.try_to_date(x, form))
+
+
+def _phone_ok(x: Column) -> Column:
+    """National area codes begin with 2 to 9."""
+    area = F.when(x.startswith("+1"), F.substring(F.regexp_replace(x, "[^0-9]", ""), 2, 1)).when(~x.startswith("+"), F.substring(F.regexp_replace(x, "[^0-9]", ""), 1, 1))
+    return area.isNull() | (area >= "2")
 
 
 def _date(x: Column, key: str) -> Column:
@@ -167,7 +178,7 @@ def _date(x: Column, key: str) -> Column:
 
     def written(p: Column) -> Column:
         fresh = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, 0) * b + F.get(p, 1))
-        return F.when(x.contains("-"), F.date_format(fresh, "yyyy-MM-dd")).when(x.contains("."), F.date_format(fresh, "dd.MM.yyyy")).otherwise(F.date_format(fresh, "MM/dd/yyyy"))
+        return _in_form(x, lambda form: F.date_format(fresh, form))
 
     return _let(permuted(places, F.array(F.lit(a), F.lit(b)), key, "date"), written)
 
@@ -230,6 +241,8 @@ def value_of(x: Column, kind: str) -> Column:
         return F.when(_ssn_ok(x), x)
     if kind == "ip":
         return F.when(F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255), x)
+    if kind == "phone":
+        return F.when(_phone_ok(x), x)
     if kind == "date":
         return F.when(F.year(_day(x)).between(*YEARS), x)
     return x
@@ -275,11 +288,16 @@ def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``spans``: array of (kind, start, end) in the old text.
 
     Offsets are code points, end exclusive. Null text stays null and has no
-    spans. The key is taken from the session's KEY_SETTING unless given.
+    spans; repeated rows are treated each; an empty table gives no rows. A
+    column called spans gives way to the new one; others may have any names.
+    The key is the session's KEY_SETTING unless given; without one there are no
+    pseudonyms that only its owner can undo, so that is an error.
     """
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"a key is needed: give one or set {KEY_SETTING}")
     columns = [c for c in docs.columns if c != "spans"]
-    df = docs.select(*columns).withColumn("_t", F.concat(F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    df = docs.select(F.struct(*columns).alias("row"), "text").withColumn("_t", F.concat(F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     for kind in KINDS:
         df = df.withColumn(f"_{kind}", _found(F.col("_t"), kind))
     every = [f"_{kind}" for kind in KINDS]
@@ -293,13 +311,15 @@ def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     rest = lambda s, to: F.substring(F.col("_t"), (s["end"] + 2).cast("int"), (to - s["end"]).cast("int"))
     pieces = F.zip_with("_m", tails, lambda s, to: F.concat(pseudonym(s["x"], kind(s), key), rest(s, to)))
     head = F.substring(F.col("_t"), F.lit(2), F.element_at("_m", 1)["start"].cast("int"))
-    return df.withColumn("text", F.when(some, F.concat(head, F.concat_ws("", pieces))).otherwise(F.col("text"))).select(*columns, "spans")
+    text = F.when(some, F.concat(head, F.concat_ws("", pieces))).otherwise(F.col("text"))
+    return df.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns], "spans")
 
 
 def digest(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, n_<kind> for each kind, spans (kind:start:end, comma-joined), text with pseudonyms.
 
-    One row for each row of ``docs``; an empty table gives none.
+    One row for each row of ``docs``, with null text where that is null; an
+    empty table gives none. The key is as in ``pseudonymised``.
     """
     found = pseudonymised(docs.select("doc_id", "text"), key)
 

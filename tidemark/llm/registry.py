@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from tidemark.llm import balltree, decontamination, langid, mixing, pii, repeats, secrets, simhash, toxicity, warc
 from tidemark.llm.store import table
 
@@ -20,7 +22,8 @@ def op3_remove_repeats(spark, sf_dir):
 
 
 def op4_pseudonymise(spark, sf_dir):
-    return pii.digest(table(spark, sf_dir, "documents"))
+    """Under the session's key or, if it has none, one that is drawn for this call and kept nowhere."""
+    return pii.digest(table(spark, sf_dir, "documents"), spark.conf.get(pii.KEY_SETTING, None) or token_hex(32))
 
 
 def op5_score_toxicity(spark, sf_dir):
@@ -82,13 +85,13 @@ FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, q.v, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
