@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import decontamination, mixing, registry, secrets, simhash, toxicity
+from tidemark.llm import decontamination, mixing, near, registry, secrets, toxicity
 from tidemark.llm.store import table
 
 
@@ -46,8 +46,8 @@ def test_pipeline_is_its_stages_done_by_hand(spark, data):
     pandas = docs.toPandas().set_index("doc_id")
     model = toxicity.learn(docs, table(spark, data, "labels"))
     left = {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["predicted"] == 0}
-    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs.where(docs["doc_id"].isin(list(left)))).collect()}
-    left = {i for i, c in near.items() if i == c}
+    found = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(docs.where(docs["doc_id"].isin(list(left)))).collect()}
+    left = {i for i, c in found.items() if i == c}
     bench = table(spark, data, "benchmark")
     left -= {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect() if r["contaminated"]}
     rest = docs.where(docs["doc_id"].isin(list(left)))
