@@ -7,6 +7,10 @@ wait is then one conditional count over the same pass.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ from tidemark.operators.running import prior_max
 DELTAS = (0, 1, 2, 3, 5, 7, 10, 15, 20, 30, 40, 50, 60, 90, 120)
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 SIZES_S = (1, 5, 10, 30, 60)
+#: Rows whose running percentiles one task finds.
+CHUNK_ROWS = 1_000_000
 THRESHOLDS_S = (0, 1, 2, 3, 5, 7, 10, 12, 15, 20, 25, 30, 40, 45, 50, 60, 75, 90, 120, 150, 180)
 
 
@@ -25,8 +31,8 @@ def on_time(need: Column, delta_ms: Column | int) -> Column:
     return need.isNull() | (need < delta_ms)
 
 
-def with_need(events: DataFrame, by: list[str] | None = None, size_ms: int = 5_000) -> DataFrame:
-    return prior_max(events, by).withColumn("ws", window_start(F.col("et_ms"), size_ms)).withColumn("need_ms", F.col("prior_max") - (F.col("ws") + size_ms))
+def with_need(events: DataFrame, by: list[str] | None = None, size_ms: int = 5_000, seq: bool = False) -> DataFrame:
+    return prior_max(events, by, seq=seq).withColumn("ws", window_start(F.col("et_ms"), size_ms)).withColumn("need_ms", F.col("prior_max") - (F.col("ws") + size_ms))
 
 
 def pct(part: Column, total: Column, digits: int = 3) -> Column:
@@ -145,50 +151,72 @@ def wait_thresholds(events: DataFrame, thresholds=THRESHOLDS_S) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def _blocks(events: DataFrame, every: int) -> DataFrame:
-    """Adds ``seq`` (0-based arrival rank) and ``block`` without one global sort: counts of buckets, then ranks inside."""
-    bucketed = events.withColumn("_b", F.floor(F.col("arrival_ms") / 10_000).cast("long"))
-    sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    rank = F.row_number().over(W.partitionBy("_b").orderBy("arrival_ms", "event_id"))
-    numbered = bucketed.withColumn("_r", rank).join(starts, "_b").withColumn("seq", F.col("_s") + F.col("_r") - 1)
-    return numbered.drop("_b", "_r", "_s").withColumn("block", F.floor(F.col("seq") / every).cast("long"))
-
-
-def leff_convergence(events: DataFrame, ps=PERCENTILES, every: int = 1_000, warm: int = 100) -> DataFrame:
-    """block, p, leff_ms: exact percentile of the lateness of all rows before the block (0 until ``warm``).
-
-    Cumulative percentiles come from one sorted pass over counts of distinct
-    lateness: each block adds its counts, so the work is blocks times distinct
-    values of lateness, not blocks times rows.
+def _quantiles_by_block(key, before: pd.DataFrame, rows: pd.DataFrame, ps, warm: int) -> pd.DataFrame:
+    """block, i, leff_ms, on_time for the blocks of one chunk, from a running histogram of distinct lateness."""
+    values = np.unique(np.concatenate([before["lateness_ms"].to_numpy(np.int64), rows["lateness_ms"].to_numpy(np.int64)]))
+    counts = np.zeros(len(values), np.int64)
+    np.add.at(counts, np.searchsorted(values, before["lateness_ms"].to_numpy(np.int64)), before["n"].to_numpy(np.int64))
+    rows = rows.sort_values("block", kind="stable")
+    block, place = rows["block"].to_numpy(np.int64), np.searchsorted(values, rows["lateness_ms"].to_numpy(np.int64))
+    need = rows["need_ms"].to_numpy(np.float64, na_value=-np.inf)
+    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1)) if len(block) else np.zeros(0, np.int64)
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
+        upto = np.cumsum(counts)
+        n = int(upto[-1])
+        at = np.array(ps, float) * max(n - 1, 0)
+        low, high = np.floor(at), np.ceil(at)
+        if n >= warm:
+            below, above = (values[np.searchsorted(upto, x.astype(np.int64), side="right")] for x in (low, high))
+            leff = np.where(low == high, below, (high - at) * below + (at - low) * above)
+        else:
+            leff = np.zeros(len(ps))
+        good = (need[lo:hi, None] < leff[None, :]).sum(axis=0)
+        out += [(int(block[lo]), i, float(x), int(g), n) for i, (x, g) in enumerate(zip(leff, good, strict=True))]
+        counts += np.bincount(place[lo:hi], minlength=len(values))
+    return pd.DataFrame(out, columns=["block", "i", "leff_ms", "on_time", "rows_before"]).astype({"block": "int64", "i": "int32", "leff_ms": "float64", "on_time": "int64", "rows_before": "int64"})
+
+
+def _by_block(events: DataFrame, ps, every: int, warm: int, chunk_rows: int) -> DataFrame:
+    """block, i, leff_ms, on_time, rows_before: exact percentiles of the lateness of all rows before each block.
+
+    Blocks go in chunks of about ``chunk_rows`` rows. What a chunk must know of
+    the rows before it is a histogram of distinct lateness, so the work is that of
+    the rows, plus distinct lateness times chunks.
     """
-    counts = _blocks(events, every).groupBy("block", "lateness_ms").agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.select("block").distinct()
-    grown = blocks.select(F.col("block").alias("at")).join(counts, F.col("block") < F.col("at")).groupBy("at", "lateness_ms").agg(F.sum("n").alias("n"))
-    found = grown.groupBy("at").agg(F.sum("n").alias("rows"), F.percentile("lateness_ms", F.array(*[F.lit(p) for p in ps]), F.col("n")).alias("q"))
-    each = found.select(F.col("at").alias("block"), "rows", F.posexplode("q").alias("i", "v"))
+    rows = with_need(events, seq=True).withColumn("block", F.floor(F.col("seq") / every).cast("long"))
+    rows = rows.select("block", F.floor(F.col("block") / max(1, chunk_rows // every)).cast("long").alias("chunk"), "lateness_ms", "need_ms")
+    counts = rows.groupBy("chunk", "lateness_ms").agg(F.count(F.lit(1)).alias("n"))
+    last = counts.agg(F.max("chunk").alias("last"))
+    # Each lateness counts in all chunks after its own: a row for each of them, then running sums.
+    later = counts.groupBy("lateness_ms").agg(F.min("chunk").alias("first")).join(F.broadcast(last)).where("first < last")
+    later = later.select("lateness_ms", F.explode(F.sequence("first", "last")).alias("chunk")).join(counts, ["chunk", "lateness_ms"], "left")
+    before = later.select("chunk", "lateness_ms", F.sum("n").over(W.partitionBy("lateness_ms").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("n")).where("n IS NOT NULL")
+    # Columns of their own: both sides come from the same rows.
+    before = before.select(*[F.col(c).alias(c) for c in before.columns])
+    search = partial(_quantiles_by_block, ps=tuple(ps), warm=warm)
+    return before.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInPandas(search, "block long, i int, leff_ms double, on_time long, rows_before long")
+
+
+def leff_convergence(events: DataFrame, ps=PERCENTILES, every: int = 1_000, warm: int = 100, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """block, p, leff_ms: exact percentile of the lateness of all rows before the block (0 until ``warm``)."""
     p = F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("i") + 1)
-    return each.select("block", p.alias("p"), F.when(F.col("rows") >= warm, F.col("v")).otherwise(0.0).alias("leff_ms"))
+    return _by_block(events, ps, every, warm, chunk_rows).where("rows_before > 0").select("block", p.alias("p"), "leff_ms")
 
 
-def heuristic_sweep(events: DataFrame, ps=PERCENTILES, every: int = 1_000, warm: int = 100) -> DataFrame:
+def heuristic_sweep(events: DataFrame, ps=PERCENTILES, every: int = 1_000, warm: int = 100, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per percentile: final L_eff, rows on time at once, rows left to the dead-letter queue."""
-    table = leff_convergence(events, ps, every, warm).groupBy("block").pivot("p", [float(p) for p in ps]).agg(F.first("leff_ms"))
-    rows = _blocks(with_need(events), every).join(table, "block", "left")
-    counts = [F.count_if(on_time(F.col("need_ms"), F.coalesce(F.col(f"`{float(p)}`"), F.lit(0.0)))).alias(f"_p{i}") for i, p in enumerate(ps)]
-    one = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile("lateness_ms", F.array(*[F.lit(p) for p in ps])).alias("q"), *counts)
-    out = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.round(F.element_at("q", i + 1) / 1000, 3).alias("leff_s"),
-            F.col("n").alias("total"),
-            F.col(f"_p{i}").alias("on_time"),
-            (F.col("n") - F.col(f"_p{i}")).alias("late_dlq"),
-            pct(F.col(f"_p{i}"), F.col("n")).alias("immediate_pct"),
-        )
-        for i, p in enumerate(ps)
-    ]
-    return one.select(F.inline(F.array(*out)))
+    good = _by_block(events, ps, every, warm, chunk_rows).groupBy("i").agg(F.sum("on_time").alias("on_time"))
+    one = events.agg(F.count(F.lit(1)).alias("total"), F.percentile("lateness_ms", F.array(*[F.lit(p) for p in ps])).alias("q"))
+    p = F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("i") + 1)
+    return good.join(F.broadcast(one)).select(
+        p.alias("p"),
+        F.round(F.element_at("q", F.col("i") + 1) / 1000, 3).alias("leff_s"),
+        "total",
+        "on_time",
+        (F.col("total") - F.col("on_time")).alias("late_dlq"),
+        pct(F.col("on_time"), F.col("total")).alias("immediate_pct"),
+    )
 
 
 def strict_vs_heuristic(events: DataFrame, deltas=DELTAS, ps=PERCENTILES, every: int = 1_000) -> DataFrame:

@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 BUCKET_MS = 10_000
 
 
-def prior_max(events: DataFrame, by: list[str] | None = None, value: str = "et_ms", order: tuple[str, ...] = ("arrival_ms", "event_id"), bucket_ms: int = BUCKET_MS, inclusive: bool = False) -> DataFrame:
+def prior_max(events: DataFrame, by: list[str] | None = None, value: str = "et_ms", order: tuple[str, ...] = ("arrival_ms", "event_id"), bucket_ms: int = BUCKET_MS, inclusive: bool = False, seq: bool = False) -> DataFrame:
     """Adds ``prior_max``: the greatest ``value`` of the rows before (null: none), in each group of ``by``.
 
-    ``inclusive`` counts the row itself.
+    ``inclusive`` counts the row itself; ``seq`` adds the number of rows before, found in the same pass.
     """
     by = by or []
     bucketed = events.withColumn("_bucket", F.floor(F.col(order[0]) / bucket_ms).cast("long"))
-    tops = bucketed.groupBy(*by, "_bucket").agg(F.max(value).alias("_top"))
+    tops = bucketed.groupBy(*by, "_bucket").agg(F.max(value).alias("_top"), *[F.count(F.lit(1)).alias("_n")] * seq)
     whole = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = tops.select(*by, "_bucket", F.max("_top").over(whole).alias("_before"))
-    inside = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = bucketed.withColumn("_local", F.max(value).over(inside))
-    return local.join(before, [*by, "_bucket"]).withColumn("prior_max", F.greatest("_local", "_before")).drop("_bucket", "_local", "_before")
+    before = tops.select(*by, "_bucket", F.max("_top").over(whole).alias("_before"), *[F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_rows")] * seq)
+    ordered = W.partitionBy(*by, "_bucket").orderBy(*order)
+    local = bucketed.withColumn("_local", F.max(value).over(ordered.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)))
+    if seq:
+        local = local.withColumn("_rank", F.row_number().over(ordered))
+    out = local.join(before, [*by, "_bucket"]).withColumn("prior_max", F.greatest("_local", "_before"))
+    if seq:
+        out = out.withColumn("seq", F.col("_rows") + F.col("_rank") - 1).drop("_rank", "_rows")
+    return out.drop("_bucket", "_local", "_before")
