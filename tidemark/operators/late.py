@@ -76,6 +76,16 @@ def corrections(late: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumns({"corrected_count": F.col("previous_count") + F.col("delta_count"), "corrected_500": F.col("previous_500") + F.col("delta_500")})
 
 
+def correction_messages(late: DataFrame, results: DataFrame, value: str = "status") -> DataFrame:
+    """``corrections`` with delta_sum (of ``value``) and ids, the late ids in order.
+
+    A message carries all its ids, so it grows with its window's late rows;
+    ``corrections`` is the bounded form.
+    """
+    more = late.groupBy("partition_id", "ws").agg(F.sum(value).alias("delta_sum"), F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return corrections(late, results).join(more, ["partition_id", "ws"])
+
+
 def late_ids(late: DataFrame, size_ms: int = 5_000) -> DataFrame:
     """Late ids with the window they belong to, one row each: the list a correction message carries, unbounded."""
     return late.select(window_id(F.col("partition_id"), F.col("ws"), size_ms).alias("window_id"), "event_id")

@@ -34,9 +34,15 @@ def build(values: DataFrame, value: str, by: list[str] | None = None, **bounds)
     return values.withColumn("bucket", bucket(F.col(value), **bounds)).where("bucket IS NOT NULL").groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge(*sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The sum of sketches that were built with the same bounds."""
+def merge(*sketches: DataFrame, by: list[str] | None = None, bounds: list[tuple] | None = None) -> DataFrame:
+    """The sum of sketches that were built with the same bounds.
+
+    ``bounds`` may name those of each (alpha, least, most, buckets): buckets of
+    unlike sketches mean other values, so they are refused.
+    """
     by = by or []
+    if bounds is not None and (len(bounds) != len(sketches) or len(set(bounds)) > 1):
+        raise ValueError(f"sketches of unlike bounds cannot be merged: {bounds}")
     out = sketches[0]
     for s in sketches[1:]:
         out = out.unionByName(s)
@@ -70,3 +76,19 @@ def sliding(values: DataFrame, value: str, clock_ms: str, window_s: int = 60, sl
     counts = values.where(F.col(value) >= 0).groupBy(second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
     w = W.orderBy("second").rangeBetween(-(window_s // slice_s), 0)
     return counts.select("second", F.sum("n").over(w).alias("in_window"))
+
+
+def sliding_quantiles(values: DataFrame, value: str, clock_ms: str, q: float = 0.99, window_s: int = 60, alpha: float = ALPHA, least: float = LEAST) -> DataFrame:
+    """second, n, bucket, estimate_s: the quantile of a sliding sketch at each second that has a value.
+
+    Each second's counts are dealt to the seconds whose window has them, so the
+    work is the distinct buckets of a second times the window's seconds.
+    """
+    second = F.floor(F.col(clock_ms) / 1000).cast("long")
+    counts = values.withColumn("bucket", bucket(F.col(value), alpha, least)).where("bucket IS NOT NULL").groupBy(second.alias("second"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counts.withColumn("second", F.explode(F.sequence(F.col("second"), F.col("second") + window_s)))
+    held = dealt.groupBy("second", "bucket").agg(F.sum("n").alias("n")).join(counts.select("second").distinct(), "second", "left_semi")
+    w = W.partitionBy("second")
+    run = held.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
+    picked = run.groupBy("second").agg(F.max("total").alias("n"), F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * q)), F.col("bucket"))).alias("bucket"))
+    return picked.withColumn("estimate_s", F.round(F.lit(least) * F.pow(F.lit(gamma(alpha)), F.col("bucket")), 6))

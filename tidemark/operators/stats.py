@@ -130,6 +130,36 @@ def worker_rollup(events: DataFrame, workers: int = 4) -> DataFrame:
     )
 
 
+def latency_percentiles(rows: DataFrame, value: str, by: list[str], percents=(50, 95, 99)) -> DataFrame:
+    """by..., p<percent>: entry min(floor(n p), n - 1) of the values in order, in thousandths, negatives left out."""
+    good = rows.where(F.col(value) >= 0).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy(*by)
+    run = good.withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = {p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)) for p in percents}
+    return run.groupBy(*by).agg(*[F.round(F.min(F.when(F.col("upto") > a, F.col(value))) / 1000, 2).alias(f"p{p}") for p, a in at.items()])
+
+
+def worst_windows(marked: DataFrame, k: int = 20) -> DataFrame:
+    """ws, total, late, loss_pct, overall_pct: the ``k`` windows that lose the largest share (marked: ws, late)."""
+    per = marked.groupBy("ws").agg(F.count(F.lit(1)).alias("total"), F.count_if("late").alias("late"))
+    overall = per.agg(F.round(F.lit(100.0) * F.sum("late") / F.sum("total"), 4).alias("overall_pct"))
+    top = per.withColumn("loss_pct", F.round(F.lit(100.0) * F.col("late") / F.col("total"), 4)).orderBy(F.desc("loss_pct"), F.desc("late"), "ws").limit(k)
+    return top.join(F.broadcast(overall))
+
+
+def worst_partitions(metrics: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` partitions of the largest p99 (partition_id, p99_us)."""
+    return metrics.groupBy("partition_id").agg(F.max("p99_us").alias("p99_us")).orderBy(F.desc("p99_us"), "partition_id").limit(k)
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n, mean, std, least, p25, p50, p75, most of numeric columns."""
+    each = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]
+    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+    found = rows.select(F.inline(F.array(*each))).where("v IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev("v"), 4).alias("std"), F.min("v").alias("least"), q.alias("q"), F.max("v").alias("most"))
+    return found.select("name", "n", "mean", "std", "least", *[F.round(F.get("q", F.lit(i)), 4).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "most")
+
+
 def stage_shares(metrics: DataFrame) -> DataFrame:
     """Share of each stage in the summed worst p99 (stage, p99_us), with a verdict."""
     share = F.lit(100.0) * F.col("p99") / F.sum("p99").over(W.partitionBy())

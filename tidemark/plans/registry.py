@@ -346,28 +346,55 @@ def trip_statistics(spark, d):
     return stats.trip_statistics(t)
 
 
-def _slices(rows, spark, n: int = 4):
+#: Slices of a bounded stream at least, and rows of one at most on average.
+SLICES, SLICE_ROWS = 4, 1_000_000
+
+
+def _slices(rows, spark):
     """A bounded stream's rows as files in arrival order.
 
-    A file stream reads files by age, so the slices are written one after the
-    other, each as one file; their number is fixed.
+    A file stream reads files by age, so the slices, equal spans of arrival time,
+    are written one after the other, each as one file. The rows are read once
+    and dealt to the slices' folders before that.
     """
     folder = new_folder(spark, "stream")
-    cuts = rows.approxQuantile("arrival_ms", [i / n for i in range(1, n)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if low is None else rows.where(F.col("arrival_ms") > low)
-        part = part if high is None else part.where(F.col("arrival_ms") <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("arrival_ms").alias("first"), F.max("arrival_ms").alias("last")).first()
+    n = max(SLICES, -(-span["n"] // SLICE_ROWS))
+    width = max(1, -(-((span["last"] or 0) - (span["first"] or 0) + 1) // n))
+    part = F.floor((F.col("arrival_ms") - (span["first"] or 0)) / width).cast("int")
+    rows.withColumn("slice", part).write.partitionBy("slice").parquet(f"{folder}/cut")
+    cut = spark.read.parquet(f"{folder}/cut")
+    for i in range(n):
+        cut.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return folder
 
 
-def _streamed(spark, d, job, policy):
-    rows = jobs.with_punctuation(events(spark, d), policy, 10_000, 5_000)
+def _streamed(spark, d, job, policy, delta_ms=10_000):
+    rows = jobs.with_punctuation(events(spark, d), policy, delta_ms, 5_000)
     folder = _slices(rows, spark)
     jobs.run_to_files(job(jobs.read_stream(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 
+def stream_accounts(spark, d, delta_ms):
+    """partition_id, received, on_time, late, duplicates of the strict stream under per-second tokens of the greatest event time."""
+    out = _streamed(spark, d, lambda s: jobs.strict(s, delta_ms), "max-event-time", delta_ms).where("kind = 'metrics'")
+    last = out.groupBy("partition_id").agg(F.max(F.struct("received", "on_time", "late", "duplicates")).alias("x"))
+    return last.select("partition_id", "x.*")
+
+
+def accounts_sql(delta_ms):
+    """A row is late if its window ended by the watermark of the tokens before it, those of the seconds before its own."""
+    return (
+        "WITH "
+        + _EV
+        + f""", tk AS (SELECT partition_id, arrival_ms // 1000 AS tick, max(et_ms) AS top FROM ev GROUP BY 1, 2),
+wm AS (SELECT partition_id, tick, max(top) OVER (PARTITION BY partition_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {delta_ms} AS w FROM tk)
+SELECT ev.partition_id, count(*) AS received, count(*) FILTER (w IS NULL OR ev.ws + 5000 > w) AS on_time, count(*) FILTER (ev.ws + 5000 <= w) AS late, 0::BIGINT AS duplicates
+FROM ev JOIN wm ON ev.partition_id = wm.partition_id AND ev.arrival_ms // 1000 = wm.tick GROUP BY 1"""
+    )
+
+
 def strict_stream(spark, d):
     """All windows of the strict stateful stream with end-of-stream punctuation: nothing is late."""
     out = _streamed(spark, d, jobs.strict, "data-driven").where("kind = 'window'")
@@ -375,10 +402,8 @@ def strict_stream(spark, d):
 
 
 def strict_stream_accounts(spark, d):
-    """Counters of the strict stream under per-second tokens of the greatest event time, after the last batch."""
-    out = _streamed(spark, d, jobs.strict, "max-event-time").where("kind = 'metrics'")
-    last = out.groupBy("partition_id").agg(F.max(F.struct("received", "on_time", "late", "duplicates")).alias("x"))
-    return last.select("partition_id", "x.*")
+    """Counters of the strict stream, after the last batch."""
+    return stream_accounts(spark, d, 10_000)
 
 
 def heuristic_stream(spark, d):
@@ -399,11 +424,13 @@ def native_stream(spark, d):
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-_HELPERS = {"new_folder", "HeuristicOptions", "events", "table", "timeline", "prior_max", "window_id", "windows_overlapping", "valid_json", "with_stable_partition", "stable_partition_of", "trips_to_events", "queries", "oracle_sql"}
+_HELPERS = {"stream_accounts", "accounts_sql", "new_folder", "HeuristicOptions", "events", "table", "timeline", "prior_max", "window_id", "windows_overlapping", "valid_json", "with_stable_partition", "stable_partition_of", "trips_to_events", "queries", "oracle_sql"}
 
 
 def queries():
-    return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k not in _HELPERS}
+    from tidemark.plans import extra
+
+    return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k not in _HELPERS} | extra.queries()
 
 
 # DuckDB SQL. ``ev`` is the timeline; ``run`` adds the running maxima.
@@ -488,6 +515,12 @@ _SKEW_COLUMNS = """CASE WHEN skew_ms <= 1000 THEN 'OK' WHEN skew_ms <= 5000 THEN
 
 
 def oracle_sql():
+    from tidemark.plans import extra
+
+    return _sql() | extra.oracle_sql()
+
+
+def _sql():
     ev = "WITH " + _EV
     sizes = " UNION ALL ".join(
         f"""SELECT {s} AS window_size_s, (max(et_ms) // {s * 1000}) + 1 AS n_windows FROM ev""" for s in C.SIZES_S
@@ -508,6 +541,14 @@ one AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER
         f"SELECT tick * 60000 AS at_ms, '{n}' AS rule, '{s}' AS severity FROM sk0 WHERE {p}" for n, p, s in control.ALERTS if p.startswith(("lag_s", "skew_ms"))
     )
     return {
+        "strict_stream_accounts": accounts_sql(10_000),
+        # Spark drops what is late by the watermark of the batch before the last one; it starts at zero.
+        "native_stream": ev
+        + f""", sp AS (SELECT min(arrival_ms) AS first, max(arrival_ms) AS last, greatest({SLICES}, ceil((count(*) + 2 * count(DISTINCT partition_id)) / {SLICE_ROWS}.0)) AS n FROM ev),
+sl AS (SELECT ev.*, (arrival_ms - first) // CAST(greatest(1, ceil((last - first + 1) / n)) AS BIGINT) AS slice FROM ev, sp),
+tp AS (SELECT slice, max(et_ms) AS top FROM sl GROUP BY 1), wm AS (SELECT slice, greatest(0, coalesce(max(top) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 60000, 0)) AS w FROM tp)
+SELECT partition_id, ws AS window_start, count(*) AS count, count(*) FILTER (status = 500) AS status_500 FROM sl JOIN wm USING (slice)
+WHERE et_ms > w AND ws + 5000 <= (SELECT max(et_ms) - 60000 FROM ev) GROUP BY 1, 2""",
         "strict_sweep": ev + _SWEEP + " SELECT * FROM strict",
         "window_loss": ev
         + _RUN

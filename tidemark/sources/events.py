@@ -110,20 +110,44 @@ def trips_to_events(trips: DataFrame, month: tuple[str, str], compression: int =
     )
 
 
+def drawn(seed: int, *values) -> F.Column:
+    """A number in [0, 1) from an MD5 digest of the seed and the values, the same in any engine that has MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(v).cast("string") for v in values])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
 def synthetic(spark: SparkSession, n: int = 1_000, partitions: int = PARTITIONS, seed: int = 42) -> DataFrame:
     """Events up to five seconds old, a fifth of them errors."""
-    late = F.floor(F.rand(seed) * 5_000).cast("long")
+    late = F.floor(drawn(seed, "id") * 5_000).cast("long")
     return spark.range(n).select(
         F.concat(F.lit("syn-"), F.col("id").cast("string")).alias("event_id"),
         F.pmod(F.col("id"), F.lit(partitions)).cast("int").alias("partition_id"),
         (F.col("id") * 10).alias("arrival_ms"),
         (F.col("id") * 10 - late).alias("et_ms"),
-        F.when(F.rand(seed + 1) < 0.2, 500).otherwise(200).alias("status"),
+        F.when(drawn(seed + 1, "id") < 0.2, 500).otherwise(200).alias("status"),
     )
 
 
-def shuffled_arrivals(events: DataFrame, share: float = 0.3, most_ms: int = 30_000, seed: int = 42) -> DataFrame:
-    """Arrival order disturbed: a share of the rows sorts later by up to ``most_ms`` (hash-derived, so reruns agree)."""
-    draw = F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    delay = F.pmod(F.xxhash64("event_id", F.lit(seed + 1)), F.lit(most_ms))
-    return events.withColumn("sort_ms", F.col("arrival_ms") + F.when(draw < share, delay).otherwise(0))
+def shuffled_arrivals(events: DataFrame, share: float = 0.3, most_ms: int = 30_000, seed: int = 42, remap_ms: int | None = None) -> DataFrame:
+    """Arrival order disturbed: a share of the rows sorts later by up to ``most_ms`` (drawn from the id, so reruns agree).
+
+    With ``remap_ms``, event time is stretched or squeezed onto 0 to that.
+    """
+    delay = F.floor(drawn(seed + 1, "event_id") * most_ms).cast("long")
+    out = events.withColumn("sort_ms", F.col("arrival_ms") + F.when(drawn(seed, "event_id") < share, delay).otherwise(0))
+    if remap_ms is None:
+        return out
+    ends = events.agg(F.min("et_ms").alias("lo"), F.max("et_ms").alias("hi"))
+    place = F.floor((F.col("et_ms") - F.col("lo")) * remap_ms / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).cast("long")
+    return out.join(F.broadcast(ends)).withColumn("et_ms", place).drop("lo", "hi")
+
+
+def write_csv(events: DataFrame, path: str) -> None:
+    """Events in the engine dialect, times in seconds."""
+    events.select(F.col("event_id").cast("string").alias("idx"), "host", (F.col("et_ms") / 1000.0).alias("time"), F.lit("GET").alias("method"), F.lit("/").alias("url"), F.col("status").alias("response"), F.col("bytes").alias("bytes"), (F.col("arrival_ms") / 1000.0).alias("arrival")).write.csv(path, header=True)
+
+
+def write_access_log(events: DataFrame, path: str) -> None:
+    """Events in the access-log dialect, whose clock has whole seconds."""
+    at = F.date_format(F.timestamp_seconds(F.floor(F.col("et_ms") / 1000)), "dd/MMM/yyyy:HH:mm:ss Z")
+    events.select(F.col("event_id").cast("string").alias("idx"), F.col("host").alias("remote_addr"), at.alias("timestamp"), F.lit("GET").alias("method"), F.lit("/").alias("path"), "status", F.col("bytes").alias("body_bytes_sent")).write.csv(path, header=True)

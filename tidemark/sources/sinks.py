@@ -33,6 +33,30 @@ def history(results: DataFrame, path: str, size_ms: int = 5_000) -> None:
     named.write.mode("append").partitionBy("partition_id").option("compression", "gzip").json(path)
 
 
+def read_history(spark: SparkSession, path: str, partitions: list[int] | None = None) -> DataFrame:
+    """What ``history`` wrote, of some partitions only if they are named (the others' folders are not read)."""
+    found = spark.read.json(path)
+    return found.where(F.col("partition_id").isin(partitions)) if partitions is not None else found
+
+
+def history_stats(spark: SparkSession, path: str) -> DataFrame:
+    """partition_id, results, first_ws, last_ws of what is stored."""
+    return spark.read.json(path).groupBy("partition_id").agg(F.count(F.lit(1)).alias("results"), F.min("ws").alias("first_ws"), F.max("ws").alias("last_ws"))
+
+
+def purge_history(spark: SparkSession, path: str, before_ms: int, size_ms: int = 5_000) -> str:
+    """Leaves out windows that ended before ``before_ms``: what stays is written to a new folder, which is returned."""
+    kept = f"{path.rstrip('/')}-from-{before_ms}"
+    spark.read.json(path).where(F.col("ws") + size_ms >= before_ms).write.mode("overwrite").partitionBy("partition_id").option("compression", "gzip").json(kept)
+    return kept
+
+
+def audited(results: DataFrame, path: str, audit: str, batch_id: int) -> None:
+    """``emit_once`` with a copy of everything that was offered, repeats too, in the audit folder."""
+    emit_once(results, path, batch_id)
+    results.withColumn("offered", F.lit(batch_id)).write.mode("append").parquet(audit)
+
+
 def report_csv(table: DataFrame, path: str, *order: str) -> None:
     """A report's table as one CSV with a header; reports have as many rows as parameters."""
     table.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
