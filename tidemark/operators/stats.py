@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import bucket_width
+
 PERCENTS = (1, 5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 85, 90, 92, 95, 97, 98, 99, 99.9, 99.99, 100)
 #: Lower edges (s) of the lateness histogram; the last bin is open.
 EDGES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 22, 25, 28, 30, 35, 40, 45, 50, 60, 75, 90, 120, 150, 180, 240, 360)
@@ -85,9 +87,9 @@ def lateness_correlation(events: DataFrame) -> DataFrame:
     return events.agg(F.round(F.corr("et_ms", "lateness_ms"), 4).alias("corr"))
 
 
-def _neighbours(events: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
+def _neighbours(events: DataFrame) -> DataFrame:
     """Adds the event and arrival time of the row before in arrival order, without one global sort."""
-    b = events.withColumn("_b", F.floor(F.col("arrival_ms") / bucket_ms).cast("long"))
+    b = events.withColumn("_b", F.floor(F.col("arrival_ms") / bucket_width(events, "arrival_ms")).cast("long"))
     order = F.struct("arrival_ms", "event_id", "et_ms")
     last = b.groupBy("_b").agg(F.max(order).alias("_last"))
     last = last.select("_b", F.lag("_last").over(W.orderBy("_b")).alias("_prev"))
