@@ -12,7 +12,9 @@ block. Lookup: binary search among the shards' key ranges, then in the shard's
 directory, then in the block; only the block and the record are read, by range.
 
 A hot URL has captures in many blocks and shards, since captures are ordered by
-key and page; record reads are dealt out anew by file and offset.
+key and page. So the blocks that a key may be in are found first, a row for each,
+and dealt out anew before they are read; record reads are dealt out by file and
+offset.
 """
 
 from __future__ import annotations
@@ -241,47 +243,69 @@ class Index:
             self._block = (n, b), [x.partition(" ")[0] for x in lines], lines
         return self._block[1:]
 
-    def find(self, key: str):
-        """Entries [page, kind, digest, file, at, size] of a key."""
+    def blocks(self, key: str):
+        """(shard, block) of every block that may have captures of a key."""
         n = bisect_left(self.last, key)
         while n < len(self.shards) and self.shards[n][1] <= key:
             _, directory, last = self._directory(n)
             b = bisect_left(last, key)
             while b < len(directory) and directory[b][0] <= key:
-                keys, lines = self._lines(n, b)
-                i = bisect_left(keys, key)
-                while i < len(keys) and keys[i] == key:
-                    yield json.loads(lines[i].partition(" ")[2])
-                    i += 1
+                yield n, b
                 b += 1
             n += 1
 
+    def entries(self, key: str, n: int, b: int):
+        """Entries [page, kind, digest, file, at, size] of a key in a block."""
+        keys, lines = self._lines(n, b)
+        i = bisect_left(keys, key)
+        while i < len(keys) and keys[i] == key:
+            yield json.loads(lines[i].partition(" ")[2])
+            i += 1
+
+    def find(self, key: str):
+        """Entries of a key in all blocks."""
+        for n, b in self.blocks(key):
+            yield from self.entries(key, n, b)
+
 
 def _keys(batches):
     for batch in batches:
         yield pa.RecordBatch.from_pydict({"key": [surt(u) for u in batch.column("url").to_pylist()]})
 
 
+def _table(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _in_pieces(rows, names: list[str], types: list, most: int = 8192):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield _table(held, names, types)
+            held = []
+    if held:
+        yield _table(held, names, types)
+
+
+def _blocks(batches, shards):
+    index = Index(shards)
+    for batch in batches:
+        yield from _in_pieces(((key, *at) for key in batch.column("key").to_pylist() for at in index.blocks(key)), ["key", "shard", "block"], [pa.string(), pa.int32(), pa.int32()])
+
+
 def _found(batches, shards):
     index = Index(shards)
-    names = ["key", "page", "kind", "digest", "file", "at", "size"]
-    types = [pa.string()] * 5 + [pa.int64()] * 2
     for batch in batches:
-        rows = []
-        for key in batch.column("key").to_pylist():
-            for entry in index.find(key):
-                rows.append((key, *entry))
-                if len(rows) == 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        asked = zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "block")), strict=True)
+        yield from _in_pieces(((key, *entry) for key, n, b in asked for entry in index.entries(key, n, b)), ["key", "page", "kind", "digest", "file", "at", "size"], [pa.string()] * 5 + [pa.int64()] * 2)
 
 
 def lookup(urls: DataFrame, shards: list[tuple[str, str, str]]) -> DataFrame:
-    """Captures of the distinct keys of ``urls`` (url); keys are sorted, so each block is read about once."""
+    """Captures of the distinct keys of ``urls`` (url); each block is read by one task, once."""
     keys = urls.select("url").mapInArrow(_keys, "key string").distinct()
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(partial(_found, shards=shards), _CAPTURES)
+    blocks = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(partial(_blocks, shards=shards), "key string, shard int, block int")
+    return blocks.repartition("shard", "block").sortWithinPartitions("shard", "block", "key").mapInArrow(partial(_found, shards=shards), _CAPTURES)
 
 
 def _fetched(batches, payloads: bool):
