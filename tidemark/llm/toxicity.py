@@ -33,6 +33,8 @@ PIECE = 200
 #: A word or beginning marks toxic words if it is in MIN_DOCS toxic documents, MIN_RATIO times more often
 #: than in clean ones, and that has at most this chance (binomial tail), were it independent of the label.
 CHANCE = 1e-6
+#: Letters of the beginnings that are features of longer words.
+BEGINNINGS = (4, 5, 6, 7)
 MIN_DOCS = 4
 MIN_RATIO = 12.0
 FOLDS = 5
@@ -44,12 +46,17 @@ def features(word: str) -> list[str]:
     """Any word (the prior of words never seen), the word, its beginnings, and whether it is all letters."""
     out = ["any", "w:" + word]
     if len(word) > 4:
-        out += ["p:" + word[:4], "q:" + word[:5]]
+        out += [f"{n}:{word[:n]}" for n in BEGINNINGS if n < len(word)]
     if not word.isalpha():
         out.append("k:mixed")
     return out
 
 
+def evident(word: str) -> list[str]:
+    """The features that can mark a word: itself and its beginnings."""
+    return [f for f in features(word)[1:] if f != "k:mixed"]
+
+
 @dataclass
 class Model:
     tagger: crf.Crf
@@ -87,15 +94,19 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     words = [list(map(sys.intern, WORD.findall((t or "").lower()))) for t in texts]
     seen = {0: Counter(), 1: Counter()}
     for w, y in zip(words, toxic, strict=True):
-        seen[y].update({f for v in set(w) for f in features(v)[1:4]})
+        seen[y].update({f for v in set(w) for f in evident(v)})
     n = {y: max(1, sum(1 for t in toxic if t == y)) for y in (0, 1)}
     share = n[1] / (n[0] + n[1])
     marked = {f for f, c in seen[1].items() if c >= MIN_DOCS and c / n[1] >= MIN_RATIO * (seen[0][f] + 0.5) / n[0] and _tail(c, seen[0][f], share) <= CHANCE}
-    bad = {v for w, y in zip(words, toxic, strict=True) if y for v in set(w) if not marked.isdisjoint(features(v))}
+    # A beginning speaks for words that no clean document has; the others speak for themselves.
+    bad = {v for w, y in zip(words, toxic, strict=True) if y for v in set(w) if ("w:" + v in marked) or (not seen[0]["w:" + v] and not marked.isdisjoint(evident(v)))}
     cuts = [p for w, y in zip(words, toxic, strict=True) for p in crf.cut(w, [int(y == 1 and v in bad) for v in w], PIECE)]
     tagged, plain = [p for p in cuts if any(p[1])], [p for p in cuts if not any(p[1])]
-    # As many pieces without a toxic word as with one, evenly spread, and some if there is none.
-    plain = plain[:: max(1, len(plain) // max(200, len(tagged)))]
+    # Of the pieces without a toxic word those that have a word like one, and as many others, evenly spread, as there
+    # are pieces with a toxic word (some if there is none).
+    like = [any(not marked.isdisjoint(evident(v)) for v in x) for x, _ in plain]
+    others = [p for p, near in zip(plain, like, strict=True) if not near]
+    plain = [p for p, near in zip(plain, like, strict=True) if near] + others[:: max(1, len(others) // max(200, len(tagged)))]
     tagger = crf.train([x for x, _ in tagged + plain], [z for _, z in tagged + plain], [0, 1], features, least=MIN_DOCS)
     found = [evidence(m) for at in range(0, len(words), SLICE) for m in tagger.marginals(words[at : at + SLICE])]
     seen_evidence = np.array(found).reshape(-1, 3)
