@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import dropped, written
+from tidemark.llm.store import dropped, unused, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -53,10 +53,10 @@ def one_of_each(docs: DataFrame, grouped) -> DataFrame:
     each different row, so rows that share a doc_id or have none (which counts
     as the smallest) keep components of their own; of equal rows one stays.
     """
-    columns = docs.columns
+    columns, key = docs.columns, unused(docs.columns, "_key")
     # The hash skips nulls, so it is told where they are.
     row = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
-    named = docs.withColumn("_key", F.struct(F.col("doc_id"), row.alias("row")))
-    found = grouped(named.select(F.col("_key").alias("doc_id"), "text"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    named = docs.withColumn(key, F.struct(F.col("doc_id"), row.alias("row")))
+    found = grouped(named.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns)

@@ -204,10 +204,7 @@ def _parted(batches, width: int, span: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id")))
-
-
-_KEY = "struct<doc_id:bigint,text_id:bigint>"
+    return docs.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("text_id")))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
@@ -216,7 +213,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     ``docs`` has key and text. Rows that are equal altogether share a key, and
     each still counts as a place where its strings start.
     """
-    rows = f"key {_KEY}, gram long, ctx long, first long, last long, offset long"
+    key = f"key {docs.schema['key'].dataType.simpleString()}"
+    rows = f"{key}, gram long, ctx long, first long, last long, offset long"
     runs = written(docs.select("key", "text").mapInArrow(partial(_runs, width=width, gram=gram), rows), "repeat-runs").withColumn("n", F.lit(1).cast("long"))
 
     def search(table: pa.Table) -> pa.Table:
@@ -224,7 +222,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
 
     def cut(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("key").agg(F.collect_list(F.struct("gram", "n", "offset", "first", "last")).alias("wanted"))
-        return docs.select("key", "text").join(wanted, "key").mapInArrow(partial(_cut, width=width), f"key {_KEY}, gram long, n long, offset long, first long, data binary")
+        return docs.select("key", "text").join(wanted, "key").mapInArrow(partial(_cut, width=width), f"{key}, gram long, n long, offset long, first long, data binary")
 
     spans, span = None, width
     while True:
@@ -237,7 +235,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
         sized = many.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("last") - F.col("first") + width)).alias("bytes"), F.max("kinds").alias("most")).first()
         shards = max(1, -(-(sized["bytes"] or 0) // shard_bytes))
         dealt = cut(many.where(F.col("kinds") <= hot)).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-        found = whole.unionByName(dealt.groupBy("shard").applyInArrow(search, f"key {_KEY}, start long, end long"))
+        found = whole.unionByName(dealt.groupBy("shard").applyInArrow(search, f"{key}, start long, end long"))
         spans = found if spans is None else spans.unionByName(found)
         if (sized["most"] or 0) <= hot:
             return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -290,5 +288,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     # Texts are dealt out by key once: both joins with them read the same exchange.
     docs = _keyed(docs.select("doc_id", "text")).select("key", "text")
     spans = repeated_spans(docs, width, **limits)
-    rows = docs.join(spans, "key", "left").select(F.col("key.doc_id").cast(kind).alias("doc_id"), "text", "spans")
+    rows = docs.join(spans, "key", "left").select(F.col("key.doc_id").alias("doc_id"), "text", "spans")
     return rows.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
