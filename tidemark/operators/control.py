@@ -79,21 +79,21 @@ def ingestor_health(beats: DataFrame, now_ms: int) -> DataFrame:
 
 #: Fixed alert rules: name, predicate over one row of metrics, severity.
 ALERTS = (
-    ("watermark_lag_critical", "lag_s > 60", "critical"),
-    ("watermark_lag_warning", "lag_s > 30 AND lag_s <= 60", "warning"),
-    ("node_skew_warning", "skew_ms > 1000 AND skew_ms <= 5000", "warning"),
-    ("node_skew_critical", "skew_ms > 5000", "critical"),
+    ("watermark_lag_critical", "watermark_lag_s > 60", "critical"),
+    ("watermark_lag_warning", "watermark_lag_s > 30 AND watermark_lag_s <= 60", "warning"),
+    ("node_skew_warning", "node_skew_ms > 1000 AND node_skew_ms <= 5000", "warning"),
+    ("node_skew_critical", "node_skew_ms > 5000", "critical"),
     ("combined_status_critical", "combined_status >= 3", "critical"),
     ("fencing_violation", "fencing_violations > 0", "high"),
-    ("ingestor_silent", "silent_ingestors > 0", "high"),
-    ("negative_lag_warning", "negative_rate > 0.01 AND negative_rate <= 0.05", "warning"),
-    ("negative_lag_critical", "negative_rate > 0.05", "critical"),
-    ("all_workers_idle", "all_idle > 0", "high"),
-    ("replay_mode_extended", "replay_mode > 0", "warning"),
+    ("ingestor_silent", "ingestor_silent > 0", "high"),
+    ("negative_lag_warning", "negative_lag_rate > 0.01 AND negative_lag_rate <= 0.05", "warning"),
+    ("negative_lag_critical", "negative_lag_rate > 0.05", "critical"),
+    ("all_workers_idle", "all_workers_idle > 0", "high"),
+    ("replay_mode_extended", "replay_mode_extended > 0", "warning"),
     ("correction_latency_high", "correction_latency_s > 3600", "warning"),
     ("dlq_backlog_critical", "dlq_backlog > 50000", "critical"),
-    ("sketch_drift_high", "drift > 0.5", "warning"),
-    ("extreme_lag_detected", "extreme_lag > 0", "warning"),
+    ("sketch_drift_high", "estimator_drift > 0.5", "warning"),
+    ("extreme_lag_detected", "extreme_lag_count > 0", "warning"),
 )
 
 
@@ -103,8 +103,8 @@ def alerts(metrics: DataFrame, clock_ms: str = "at_ms", cooldown_ms: int = 60_00
     Cooldown is per rule and counted from interval to interval: of the firings
     in one interval the first stands.
     """
-    names = {"lag_s", "skew_ms", "combined_status", "fencing_violations", "silent_ingestors", "negative_rate", "all_idle", "replay_mode", "correction_latency_s", "dlq_backlog", "drift", "extreme_lag"}
-    full = metrics.withColumns({c: F.lit(0.0) for c in names - set(metrics.columns)})
+    names = dict.fromkeys(word for _, predicate, _ in ALERTS for word in predicate.split() if word.islower())
+    full = metrics.withColumns({c: F.lit(0.0) for c in names if c not in metrics.columns})
     fired = F.array_compact(F.array(*[F.when(F.expr(p), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, p, s in ALERTS]))
     rows = full.select(F.col(clock_ms).alias("at_ms"), F.inline(fired))
     return rows.groupBy("rule", "severity", F.floor(F.col("at_ms") / cooldown_ms).alias("_i")).agg(F.min("at_ms").alias("at_ms")).drop("_i")

@@ -281,7 +281,7 @@ def backpressure_signals(spark, d):
 
 def metric_alerts(spark, d):
     per = control.skew_status(control.heartbeats(events(spark, d)))
-    return control.alerts(per.select((F.col("tick") * 60_000).alias("at_ms"), "lag_s", F.col("skew_ms").cast("double").alias("skew_ms")))
+    return control.alerts(per.select((F.col("tick") * 60_000).alias("at_ms"), F.col("lag_s").alias("watermark_lag_s"), F.col("skew_ms").cast("double").alias("node_skew_ms")))
 
 
 def schema_normalise(spark, d):
@@ -538,7 +538,7 @@ SELECT w AS window_size_s, any_value(n_windows) AS n_windows, max(c) FILTER (del
 one AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_ms) = 1)"""
     nb = """, nb AS (SELECT et_ms, arrival_ms, lag(et_ms) OVER w AS pe, lag(arrival_ms) OVER w AS pa FROM ev WINDOW w AS (ORDER BY arrival_ms, event_id))"""
     per_alert = " UNION ALL ".join(
-        f"SELECT tick * 60000 AS at_ms, '{n}' AS rule, '{s}' AS severity FROM sk0 WHERE {p}" for n, p, s in control.ALERTS if p.startswith(("lag_s", "skew_ms"))
+        f"SELECT tick * 60000 AS at_ms, '{n}' AS rule, '{s}' AS severity FROM (SELECT tick, lag_s AS watermark_lag_s, skew_ms AS node_skew_ms FROM sk0) WHERE {p}" for n, p, s in control.ALERTS if p.startswith(("watermark_lag_s", "node_skew_ms"))
     )
     return {
         "strict_stream_accounts": accounts_sql(10_000),
