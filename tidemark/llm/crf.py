@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Padded cells (sequences times steps) worked on at once, words in a piece, and words remembered.
-CELLS = 1 << 20
+CELLS = 1 << 18
 STEP = 128
 REMEMBERED = 600_000
 #: Numbers in the matrices of pieces that are held at once, and bytes and texts that ``slices`` puts together.
