@@ -21,7 +21,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more); texts without words are one group."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more; found by SimHash, and by MinHash what that misses); texts without words are one group."""
     return near.keep_one(docs)
 
 

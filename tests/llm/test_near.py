@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm import near
 
@@ -51,3 +53,37 @@ def test_sketches_and_bands_of_similar_sets():
         missed += not set(a["bands"]) & set(b["bands"])
         apart.append(sum(((a[k] ^ b[k]) & (2**64 - 1)).bit_count() for k in ("low", "high")))
     assert missed == 0 and max(apart) <= near.APART and 7 < sum(apart) / len(apart) < 17
+
+
+def test_simhash_search_brings_its_links_to_verification(spark):
+    """Near copies within three bits reach verification by the SimHash search alone, and unlike ones do not link."""
+    r = random.Random(6)
+    base = [f"s{i}" for i in range(2000)]
+    texts = [" ".join(base), replaced(base, 1, r), " ".join(f"t{i}" for i in range(2000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    firsts = docs.mapInArrow(near._prints, f"doc_id long, {near._PRINT}").withColumnRenamed("doc_id", "first_id")
+    prints = [near._print(t) for t in texts]
+    assert ((prints[0]["simhash"] ^ prints[1]["simhash"]) & (2**64 - 1)).bit_count() <= 3
+    assert {frozenset((x["a"]["fp"], x["b"]["fp"])) for x in near._by_simhash(firsts).collect()} == {frozenset(p["fp"] for p in prints[:2])}
+    # Without any key in common the link is still found.
+    apart = firsts.withColumn("bands", F.array(F.col("fp")))
+    assert [{x["u"], x["v"]} for x in near.links(apart, docs).collect()] == [{p["fp"] for p in prints[:2]}]
+
+
+def test_least_elements_leave_no_similar_pair_out(spark):
+    """Sets on both sides of LEAST elements: all similar pairs pass, dissimilar ones of few elements do not."""
+    r = random.Random(7)
+    rows, want, close = [], {}, {}
+    for g in range(120):
+        n = (60, 250, 300, 1500)[g % 4]
+        base = [f"x{g}-{i}" for i in range(n)]
+        a, b = near.shingles(" ".join(base)), near.shingles(replaced(base, max(1, round(n * (0.012, 0.02, 0.04)[g % 3])), r))
+        rows.append((g, [x.view("int64").tolist() for x in (a, b)]))
+        want[g] = 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)), max(len(a), len(b)) <= near.LEAST
+        close[g] = 9 * (len(set(a) & set(b)) + 1) >= 4 * (len(a) + len(b))
+    df = spark.createDataFrame(rows, "g int, s array<array<long>>")
+    a, b = (F.struct(F.size(F.col("s")[i]).alias("size"), near._least(F.col("s")[i]).alias("least")) for i in (0, 1))
+    got = {x["g"]: x["may"] for x in df.select("g", near._look(a, b).alias("may")).collect()}
+    assert all(got[g] for g, (similar_, _) in want.items() if similar_)
+    assert not any(got[g] for g, (similar_, whole) in want.items() if whole and not similar_ and not close[g])
+    assert len({x for x in want.values()}) == 4
