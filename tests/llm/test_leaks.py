@@ -40,3 +40,27 @@ def test_small_tables_are_counted_in_rows_and_bytes(spark):
     df = spark.range(10).withColumn("x", F.lit("y" * 100))
     assert is_small(df) and not is_small(df, 9) and not is_small(df, most_bytes=1_000) and is_small(df.where("false"), 0)
     assert unused(["a", "_A"], "a") == "__a"
+
+
+def test_crowded_anchors_do_not_deal_texts_out_again(spark, monkeypatch):
+    """Parts of crowded anchors come from the texts where they are, and give the same rows as one round."""
+    import random
+
+    from tidemark.llm import repeats
+
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(60))
+    texts = ["".join(r.choice("xyz ") for _ in range(r.randrange(90))) + line + r.choice(("tail one here and more of it", "")) + "".join(r.choice("uvw ") for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:7] + [None])], "doc_id long, text string")
+    plans, keep = {}, repeats.written
+
+    def spied(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(repeats, "written", spied)
+    rows = lambda **limits: sorted(map(tuple, repeats.remove_repeats(docs, 48, gram=16, **limits).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    want = rows()
+    assert "repeat-parts" not in plans
+    assert rows(hot=3) == want and any(x[2] for x in want)
+    assert plans["repeat-parts"] and not any("Exchange" in p for p in plans["repeat-parts"])
