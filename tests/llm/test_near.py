@@ -1,11 +1,14 @@
 """The pipeline's near-duplicates against brute force over all pairs."""
 
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near
+from tidemark.llm.store import written
 
 
 def replaced(words, n, r):
@@ -87,3 +90,19 @@ def test_least_elements_leave_no_similar_pair_out(spark):
     assert all(got[g] for g, (similar_, _) in want.items() if similar_)
     assert not any(got[g] for g, (similar_, whole) in want.items() if whole and not similar_ and not close[g])
     assert len({x for x in want.values()}) == 4
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What a table was shuffled through goes with its query, not when the driver collects its garbage."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in folders for p in Path(d).rglob("shuffle_*")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to = spark.conf.get(name, None)
+    made_of = spark.range(50_000).select((F.col("id") % 1000).alias("k"), F.xxhash64("id").alias("h"))
+    assert written(made_of.join(made_of.groupBy("k").agg(F.min("h").alias("least")), "k"), "test-written").count() == 50_000
+    assert spark.conf.get(name, None) == set_to
+    late = time.time() + 20
+    # Deleted in the background; the count's own file holds a number for each task.
+    while (left := {p for p in files() - before if p.exists() and p.stat().st_size > 1000}) and time.time() < late:
+        time.sleep(0.2)
+    assert not left

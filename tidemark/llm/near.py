@@ -176,6 +176,8 @@ def links(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     # A key whose sets are in one component has nothing left to compare.
     split = placed.groupBy("band").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root")).where("first_root < last_root").select("band")
     open_ = written(placed.join(split, "band"), "near-open")
+    for done in (shared, close):
+        dropped(done)
     # All keys and the least elements of a set go with it: a pair is compared under the first key that both have.
     wide = firsts.join(open_.select(F.col("x.fp").alias("fp")).distinct(), "fp", "left_semi").join(sets, "fp").select("fp", "size", "low", "high", "bands", _least(F.col("found")).alias("least"))
     keyed = open_.select("band", "root", F.col("x.fp").alias("fp")).join(wide, "fp").select("band", "root", F.struct("fp", "size", "low", "high", "bands", "least").alias("x"))
@@ -183,8 +185,8 @@ def links(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     shared_key = F.zip_with("a.bands", "b.bands", lambda x, y: x == y)
     first = F.get("a.bands", (F.array_position(shared_key, True) - 1).cast("int")) == F.col("band")
     more = written(_similar(_pairs(left.join(right, "band").where("a_root < b_root"), first & _look(F.col("a"), F.col("b"))), sets), "near-links")
-    dropped(shared)
-    dropped(open_)
+    for done in (sets, open_):
+        dropped(done)
     return near.unionByName(more)
 
 
