@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, mixing, near, secrets, toxicity
-from tidemark.llm.store import table, written
+from tidemark.llm.store import give_back, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below one half, from a model of the labelled rows of ``docs``; null and empty texts have no evidence and stay."""
-    return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    # The driver's memory is shared by all stages, and learning takes the most of it.
+    model.tagger.forget()
+    give_back()
+    return toxicity.reject(docs, model)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

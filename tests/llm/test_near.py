@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import near
+from tidemark.llm import components, near, toxicity
 from tidemark.llm.store import written
 
 
@@ -106,3 +106,27 @@ def test_written_tables_leave_no_shuffle_files(spark):
     while (left := {p for p in files() - before if p.exists() and p.stat().st_size > 1000}) and time.time() < late:
         time.sleep(0.2)
     assert not left
+
+
+def test_components_of_edges_that_fit_a_task_take_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name: (made.append(name), written(df, name))[1])
+    path = [(i, i + 1) for i in range(200)] + [(300, 301), (5, 5)]
+    edges = spark.createDataFrame(path, "u long, v long").repartition(7)
+    whole = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert whole == {**{i: 0 for i in range(201)}, 300: 300, 301: 300}
+    assert len(made) == 2
+    # Tasks of 20 edges each: rounds join what they made.
+    monkeypatch.setattr(components, "EDGES", 20)
+    got = components.components(edges).collect()
+    assert len(got) == len(whole) and {r["node"]: r["root"] for r in got} == whole
+
+
+def test_driver_keeps_no_memory_of_the_sample(spark, monkeypatch):
+    d, models = "/root/testdata/sf0.001", []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a: (models.append(learn(*a)), models[0])[1])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = corpus_pipeline.reject_toxic(spark, docs, d)
+    assert models[0].tagger._seen is None and models[0].tagger._rows is None
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in toxicity.reject(docs, models[0]).collect())

@@ -1,17 +1,47 @@
 """Connected components of a large graph by alternating large and small stars.
 
-Each round is two joins on narrow rows; every few links a node keeps shrink the
+Edges are first dealt out, so many to a task, and each task's are replaced by
+links of its nodes to the smallest that they reach by them: the same components
+with fewer and shorter paths, and all of them if one task had all edges. Else
+each round is two joins on narrow rows; every few links a node keeps shrink the
 diameter by a constant factor, so rounds grow with the logarithm of the longest
 path. Rounds end in the shared folder, so no lineage builds up.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import dropped, unused, written
 
+#: Edges of a task that replaces them by links to the smallest node.
+EDGES = 1 << 18
+
+
+def _to_least(batches):
+    """u, v: each node of the edges in ``batches`` that reaches a smaller one by them, and the smallest."""
+    held = list(batches)
+    if not held:
+        return
+    ends = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("u", "v")]
+    nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+    above = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in zip(*(x.tolist() for x in np.split(place, 2)), strict=True):
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    least = nodes[np.array(list(map(top, above)), np.int64)]
+    moved = nodes != least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(least[moved])], ["u", "v"])
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,6 +64,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = state(now)
+    tasks = -(-seen[0] // EDGES)
+    if tasks:
+        folded = written(now.repartition(tasks).mapInArrow(_to_least, "u long, v long"), "links")
+        dropped(now)
+        now = folded
+        # What one task made is the result.
+        seen = state(now) if tasks > 1 else (0,)
     while seen[0]:
         after = written(_star(_star(now, True), False), "links")
         dropped(now)

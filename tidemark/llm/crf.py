@@ -38,6 +38,10 @@ class Crf:
     def __getstate__(self):
         return {**self.__dict__, "_rows": None, "_seen": None, "_table": None}
 
+    def forget(self) -> None:
+        """Drop what is remembered of words; it is found anew when it is needed."""
+        self._rows = self._seen = self._table = None
+
     def scores(self, words: Sequence[str]) -> np.ndarray:
         """Scores of each word (rows) for each label, computed from the features."""
         if self._table is None:

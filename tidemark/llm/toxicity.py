@@ -100,6 +100,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     marked = {f for f, c in seen[1].items() if c >= MIN_DOCS and c / n[1] >= MIN_RATIO * (seen[0][f] + 0.5) / n[0] and _tail(c, seen[0][f], share) <= CHANCE}
     # A beginning speaks for words that no clean document has; the others speak for themselves.
     bad = {v for w, y in zip(words, toxic, strict=True) if y for v in set(w) if ("w:" + v in marked) or (not seen[0]["w:" + v] and not marked.isdisjoint(evident(v)))}
+    del seen  # the driver holds these counts no longer than it must
     cuts = [p for w, y in zip(words, toxic, strict=True) for p in crf.cut(w, [int(y == 1 and v in bad) for v in w], PIECE)]
     tagged, plain = [p for p in cuts if any(p[1])], [p for p in cuts if not any(p[1])]
     # Of the pieces without a toxic word those that have a word like one, and as many others, evenly spread, as there
