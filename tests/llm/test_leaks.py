@@ -64,3 +64,36 @@ def test_crowded_anchors_do_not_deal_texts_out_again(spark, monkeypatch):
     assert "repeat-parts" not in plans
     assert rows(hot=3) == want and any(x[2] for x in want)
     assert plans["repeat-parts"] and not any("Exchange" in p for p in plans["repeat-parts"])
+
+
+def test_small_tables_make_few_files_and_hits_none(spark, monkeypatch):
+    """Each file costs processes that begin with the executor's memory; 64 shuffle partitions give no more of them than cores."""
+    rows, keep = {}, decontamination.written
+
+    def spied(df, name, *few, **named):
+        out = keep(df, name, *few, **named)
+        rows[name] = (len(out.inputFiles()), out.count())
+        return out
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(decontamination, "written", spied)
+    item = " ".join(f"word{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"before {item} after") for i in range(40)] + [(40, "clean"), (41, None)], "doc_id long, text string").repartition(20)
+    bench = spark.createDataFrame([("a", item), ("b", "word5 word6"), ("c", "not there")], "item_id string, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.decontaminate(docs, bench).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: (302, 300, 2) for i in range(40)} | {40: (1, 0, 0), 41: (0, 0, 0)}
+    assert max(n for n, _ in rows.values()) <= spark.sparkContext.defaultParallelism and "leak-hits" not in rows
+    assert max(n for _, n in rows.values()) >= 290
+
+
+def test_covered_words_of_spans_that_overlap_touch_or_repeat(spark):
+    spans = [[], [(0, 10)], [(0, 2), (1, 10), (3, 2), (11, 1)], [(5, 3), (8, 2), (20, 1), (20, 4)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(spans)], "id int, x array<struct<start:int,size:int>>")
+    got = {r["id"]: r["n"] for r in df.select("id", decontamination._covered(F.col("x")).alias("n")).collect()}
+    assert got == {i: len({p for a, n in x for p in range(a, a + n)}) for i, x in enumerate(spans)}

@@ -16,7 +16,6 @@ words. Joins that are too large for a broadcast deal each word to SALTS keys.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import BROADCAST_ROWS, broadcast_if_small, is_small, unused, written
@@ -46,7 +45,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, D
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - width, F.lit(0))
     cut = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item_id", F.slice("w", F.col("at") + 1, width).alias("win"))
-    cut = written(cut.withColumn("window_id", F.sha2(F.concat_ws(" ", "win"), 256)).distinct(), "leak-windows")
+    cut = written(cut.withColumn("window_id", F.sha2(F.concat_ws(" ", "win"), 256)).distinct(), "leak-windows", few=is_small(benchmark.select("item_id", "text")))
     return cut.select("window_id", "win").dropDuplicates(["window_id"]), cut.select("window_id", "item_id").distinct()
 
 
@@ -79,8 +78,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, width: int = WIDTH, broadca
     are within bounds; beyond, words are joined by shuffle, salted, and carry the
     words around them, which bounds a row by the window's width.
     """
-    vocabulary = written(windows.select(F.explode("win").alias("word")).select(F.xxhash64("word").alias("h")).distinct(), "leak-vocabulary")
-    small = is_small(vocabulary, broadcast_rows) and is_small(windows, broadcast_rows)
+    few = is_small(windows, broadcast_rows)
+    vocabulary = written(windows.select(F.explode("win").alias("word")).select(F.xxhash64("word").alias("h")).distinct(), "leak-vocabulary", few)
+    small = few and is_small(vocabulary, broadcast_rows)
     tokens = docs.select("row_id", words(F.col("text")).alias("w"))
     # Outer generators: before others Spark cuts each text three times, to leave out those without words.
     every = tokens.select(F.explode_outer("w").alias("word")).where("word IS NOT NULL").select(F.xxhash64("word").alias("h"))
@@ -89,7 +89,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, width: int = WIDTH, broadca
     else:
         # Counted before the join, so a common word is one row of each task.
         seen = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "h", "left_semi")
-    anchors = written(with_anchor(windows, written(seen, "leak-counts"), small), "leak-anchors")
+    anchors = written(with_anchor(windows, written(seen, "leak-counts", small), small), "leak-anchors", small)
     each = tokens.select("row_id", "w", F.posexplode_outer("w").alias("at", "word")).where("word IS NOT NULL").withColumn("h", F.xxhash64("word"))
     start = F.col("at") - F.col("offset")
     if small:
@@ -105,6 +105,17 @@ def occurrences(docs: DataFrame, windows: DataFrame, width: int = WIDTH, broadca
     return found.select("row_id", start.alias("start"), "size", "window_id")
 
 
+def _covered(places: Column) -> Column:
+    """How many words the spans (start, size), sorted by start, cover."""
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+
+    def add(so_far: Column, x: Column) -> Column:
+        end = x["start"] + x["size"]
+        return F.struct((so_far["n"] + F.greatest(F.lit(0), end - F.greatest(x["start"], so_far["end"]))).alias("n"), F.greatest(end, so_far["end"]).alias("end"))
+
+    return F.aggregate(places, none, add, lambda so_far: so_far["n"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -114,13 +125,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """
     docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("row_id"), "text")
     windows, members = item_windows(benchmark, width)
-    found = written(occurrences(docs, windows, width), "leak-hits")
-    spans = found.groupBy("row_id", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
-    before = F.max("end").over(W.partitionBy("row_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.col("before"), F.lit(0))))
-    hits = spans.withColumn("before", before).groupBy("row_id").agg(F.sum(fresh).cast("long").alias("n_hit"))
-    named = found.select("row_id", "window_id").distinct().join(members, "window_id").groupBy("row_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    joined = hits.join(named, "row_id")
+    # Every hit of a document in one row, at most ``width`` for each of its words; made once, so nothing of the corpus is written.
+    places, of = F.array_sort(F.collect_set(F.struct("start", "size"))), F.collect_set("window_id")
+    found = occurrences(docs, windows, width).groupBy("row_id").agg(places.alias("places"), of.alias("windows"))
+    hits = found.select("row_id", _covered(F.col("places")).alias("n_hit"), F.explode("windows").alias("window_id"))
+    joined = hits.join(broadcast_if_small(members), "window_id").groupBy("row_id").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     counted = docs.select("row_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
